@@ -58,7 +58,7 @@ def _repeat_words(words: Column, n: Column) -> Column:
         lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
     )
     return let(
-        F.array_sort(windows),
+        F.sort_array(windows),
         lambda s: F.size(
             F.array_distinct(
                 F.flatten(
