@@ -37,3 +37,12 @@ def let(value: Column, body) -> Column:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` into the session's number of shuffle partitions."""
     return df.repartition(*keys)
+
+
+#: Rows of a side that may be broadcast; beyond it, the join shuffles.
+SMALL_ROWS = 300_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows (counted), else as it is. For checkpointed frames."""
+    return F.broadcast(df) if df.count() <= rows else df

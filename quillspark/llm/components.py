@@ -14,17 +14,20 @@ from .common import cut_lineage
 MAX_ROUNDS = 60
 
 
+def _edge(u: str, v: str):
+    return F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    both = edges.select(F.explode(F.array(_edge("u", "v"), _edge("v", "u"))).alias("e")).select("e.*")
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least, "u")
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    return down.join(least, "u").select(F.explode(F.array(_edge("v", "m"), _edge("u", "m"))).alias("e")).select("e.*").where("u <> v").distinct()
 
 
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
