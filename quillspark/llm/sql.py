@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_scan import CONTAINED, TEMPLATES, template_shingles
 from .quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS
 
 
@@ -36,4 +37,16 @@ b AS (SELECT *, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_R
 SELECT *, NOT base_failed AND {_verdict()} AS kept FROM b
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_quality_rules": OP10}
+_SHINGLES = ", ".join(f"({t}, '{name}', '{s}')" for t, (name, text) in enumerate(TEMPLATES) for s in template_shingles(text))
+
+OP2 = rf"""
+WITH t(t, name, s) AS (VALUES {_SHINGLES}),
+w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+d AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+n AS (SELECT doc_id, t.t, t.name, count(*) AS n FROM d JOIN t USING (s) GROUP BY ALL),
+k AS (SELECT DISTINCT doc_id, name FROM n JOIN (SELECT t, count(*) AS k FROM t GROUP BY t) USING (t) WHERE n >= k * {CONTAINED}),
+a AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS l FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(l, '') AS licenses FROM documents LEFT JOIN a USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_licenses": OP2, "op10_quality_rules": OP10}
