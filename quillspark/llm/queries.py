@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -30,7 +30,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
+    return pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
-    return count_tokens(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
+    return count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
