@@ -274,11 +274,11 @@ def signed_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_TRADE}, st AS (SELECT src, dst, CASE WHEN w % 2 = 0 THEN 1 ELSE -1 END AS sign, CASE WHEN w % 3 = 0 THEN 'associative' ELSE 'causal' END AS kind FROM flow),
-p AS (SELECT 0 AS cur, [0] AS path, 1 AS sign, 0.0::DOUBLE AS wt UNION ALL SELECT dst, list_append(path, dst), p.sign * st.sign, wt + CASE kind WHEN 'causal' THEN 1.0 ELSE 0.5 END FROM p JOIN st ON src = cur WHERE cur <> 24 AND len(path) <= 6 AND NOT list_contains(path, dst))
-SELECT array_to_string(path, '>') AS path, sign AS net, round(wt / (len(path) - 1) + 0.15 * len(path) - 0.05 * (len(path) - 1), 6) AS score FROM p WHERE cur = 24""")
+p AS (SELECT 0 AS cur, [0] AS path, 1 AS sign, 0.0::DOUBLE AS wt UNION ALL SELECT dst, list_append(path, dst), p.sign * st.sign, wt + CASE kind WHEN 'causal' THEN 1.0 ELSE 0.5 END FROM p JOIN st ON src = cur WHERE cur <> 7 AND len(path) <= 6 AND NOT list_contains(path, dst))
+SELECT array_to_string(path, '>') AS path, sign AS net, round(wt / (len(path) - 1) + 0.15 * len(path) - 0.05 * (len(path) - 1), 6) AS score FROM p WHERE cur = 7""")
 def reading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = _flow(spark, sf_dir).select("src", "dst", F.when(F.col("w") % 2 == 0, 1).otherwise(-1).alias("sign"), F.when(F.col("w") % 3 == 0, "associative").otherwise("causal").alias("kind"))
-    found = graph.simple_paths(steps, 0, 24)
+    found = graph.simple_paths(steps, 0, 7)
     return found.select(F.array_join("path", ">").alias("path"), graph.net_sign(F.col("signs")).alias("net"), graph.path_score(F.col("kinds"), F.col("path")).alias("score"))
 
 
