@@ -8,6 +8,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stemming import porter, stems
 from ..functions.text import search_tokens
 
 #: Weights of the section columns; BM25's two parameters; a section beyond the best counts a quarter.
@@ -25,16 +26,19 @@ def _hits(tokens: Column, term: str, prefix: bool) -> Column:
     return F.size(F.filter(tokens, lambda t: t.startswith(term) if prefix else t == term))
 
 
-def scored_sections(sections: DataFrame, query: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+def scored_sections(sections: DataFrame, query: str, weights: dict[str, float] = WEIGHTS, stem: bool = False) -> DataFrame:
     """note_id, pos, score of each section with a hit.
 
     The terms are known when the plan is made, so one projection counts them and nothing is exploded; the corpus
-    figures are one aggregate row, joined back by a one-row broadcast.
+    figures are one aggregate row, joined back by a one-row broadcast. ``stem`` compares Porter stems (an Arrow function).
     """
     wanted = query_terms(query)
     if not wanted:
         return sections.select("note_id", "pos", F.lit(0.0).alias("score")).where(F.lit(False))
-    tokens = sections.select("note_id", "pos", *[search_tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in weights])
+    if stem:
+        wanted = [porter(w) for w in wanted]
+    reduced = stems if stem else lambda c: c
+    tokens = sections.select("note_id", "pos", *[reduced(search_tokens(F.coalesce(F.col(c), F.lit("")))).alias(c) for c in weights])
     length = sum((F.size(c) for c in weights), F.lit(0))
     hits = [
         sum((_hits(F.col(c), q, i == len(wanted) - 1) * F.lit(w) for c, w in weights.items()), F.lit(0.0))
@@ -54,10 +58,10 @@ def scored_sections(sections: DataFrame, query: str, weights: dict[str, float] =
     return counted.where(any_hit).join(F.broadcast(corpus)).select("note_id", "pos", F.round(score, 6).alias("score"))
 
 
-def search(sections: DataFrame, notes: DataFrame, query: str, limit: int = 10, tag: str | None = None, topic: str | None = None) -> DataFrame:
+def search(sections: DataFrame, notes: DataFrame, query: str, limit: int = 10, tag: str | None = None, topic: str | None = None, stem: bool = False) -> DataFrame:
     """note_id, score, best (position of the best section): the best sections are taken first, then rolled up,
     filtered, weighted and cut, in this order. notes: id, and if there are any, tags, topic, generated."""
-    best = scored_sections(sections, query).orderBy(F.desc("score"), "note_id", "pos").limit(limit * FAN_OUT)
+    best = scored_sections(sections, query, stem=stem).orderBy(F.desc("score"), "note_id", "pos").limit(limit * FAN_OUT)
     ranked = best.withColumn("rn", F.row_number().over(Window.partitionBy("note_id").orderBy(F.desc("score"), "pos")))
     rolled = ranked.groupBy("note_id").agg(F.sum(F.when(F.col("rn") == 1, F.col("score")).otherwise(F.col("score") * EXTRA)).alias("s"), F.min(F.when(F.col("rn") == 1, F.col("pos"))).alias("best"))
     own = notes.join(F.broadcast(rolled), notes["id"] == rolled["note_id"])

@@ -75,6 +75,7 @@ def test_search_filters_after_the_cut(spark):
     assert [r.note_id for r in search.search(sections, notes, "caffeine aden").collect()][0] == "n1"
     assert search.search(sections, notes, "caffeine", tag="y").count() == 0
     assert search.search(sections, notes, "  ").count() == 0
+    assert search.search(sections, notes, "blocked receptor sleeping", stem=True).count() == 2
 
 
 def test_find_note(spark):
