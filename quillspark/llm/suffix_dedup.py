@@ -187,6 +187,8 @@ def _with_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows, windows, spans = [], {}, []
         for doc, text, runs in zip(pdf["doc_id"], pdf["text"], pdf["runs"], strict=True):
+            if runs is None:
+                continue
             data = (text or "").encode()
             for r in runs:
                 start, n = r["start"], r["n"]
@@ -272,8 +274,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     settled = cut_lineage(runs.repartition("key").mapInPandas(_settle, _EDGE))
     edges = settled.where("key IS NOT NULL").groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("runs"))
     of_edges = (
-        texts.join(edges, F.col("doc_id") == F.col("d"))
-        .select("doc_id", "text", "runs")
+        texts.join(edges, F.col("doc_id") == F.col("d"), "left")  # as below, so that the texts are shuffled once
+        .select("doc_id", F.when(F.col("runs").isNotNull(), F.col("text")).alias("text"), "runs")
         .mapInPandas(_with_text, "key long, doc long, start long, n int, text binary")
         .repartition("key")
         .mapInPandas(_sort_edges, "doc long, start long, stop long")
