@@ -1,9 +1,9 @@
 """License scan: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
 Words are lower-case runs of letters and digits, shingles five words. A window has ``WINDOW`` shingles and starts every
-``STRIDE``. One band is one row: the least of the window's shingle hashes under one of ``BANDS`` permutations (an
-exclusive-or mask over 64 hashed bits). A clause of the shortest length, one shingle, shares at least 1 of the 6 shingles
-of a window that holds it, so a window misses it with probability (1 - 1/6) ** 40 < 0.001; longer clauses are cut into
+``STRIDE``. One band is one row: the least of the window's shingle hashes under one of ``BANDS`` hash functions
+(XXH64 with the band's number). A clause of the shortest length, one shingle, shares at least 1 of the 3 shingles
+of a window that holds it, so a window misses it with probability (1 - 1/3) ** 16 < 0.002; longer clauses are cut into
 pieces of ``WINDOW`` shingles, any of which suffices. Retrieved templates are kept if the document holds at least
 ``CONTAINED`` of their shingles. Everything is native; the band values of the fixed templates are a small broadcast table.
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, let, small
 
-SHINGLE, WINDOW, STRIDE, BANDS, CONTAINED = 5, 6, 5, 40, 0.8
+SHINGLE, WINDOW, STRIDE, BANDS, CONTAINED = 5, 3, 3, 16, 0.8
 #: Public notices of well-known licenses; a license may have several.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -56,15 +56,6 @@ def _joined_shingles(words: Column) -> Column:
     )
 
 
-def _mask(k: int) -> int:
-    """The k-th permutation's mask, a signed 64-bit integer (SplitMix64)."""
-    x = (k + 1) * 0x9E3779B97F4A7C15 % 2**64
-    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
-    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
-    x ^= x >> 31
-    return x - 2**64 if x >= 2**63 else x
-
-
 def _pieces() -> list[tuple[int, list[str]]]:
     out = []
     for t, (_, text) in enumerate(TEMPLATES):
@@ -77,8 +68,8 @@ def template_bands(spark: SparkSession) -> DataFrame:
     """value, template: the band values of the templates' pieces; a small table, fixed by ``TEMPLATES``."""
     pieces = _pieces()
     words = spark.createDataFrame([(i, t, s.split(" ")) for i, (t, ss) in enumerate(pieces) for s in ss], "i int, template int, w array<string>")
-    h = words.select("i", "template", F.xxhash64(*[F.col("w")[k] for k in range(SHINGLE)]).alias("h"), F.explode(F.array(*[F.lit(_mask(k)).cast("long") for k in range(BANDS)])).alias("mask"))
-    return h.groupBy("i", "template", "mask").agg(F.min(F.col("h").bitwiseXOR(F.col("mask"))).alias("value")).select("value", "template").distinct()
+    h = words.select("i", "template", F.xxhash64(*[F.col("w")[k] for k in range(SHINGLE)]).alias("h"), F.explode(F.array(*map(F.lit, range(BANDS)))).alias("band"))
+    return h.groupBy("i", "template", "band").agg(F.min(F.xxhash64("h", "band")).alias("value")).select("value", "template").distinct()
 
 
 def _windows(docs: DataFrame) -> DataFrame:
@@ -101,7 +92,7 @@ def _windows(docs: DataFrame) -> DataFrame:
 
 def retrieve(docs: DataFrame) -> DataFrame:
     """doc, template: what any band of any window retrieves."""
-    least = [F.least(*[F.col(f"s{i}").bitwiseXOR(F.lit(_mask(k)).cast("long")) for i in range(WINDOW)]) for k in range(BANDS)]
+    least = [F.least(*[F.xxhash64(F.col(f"s{i}"), F.lit(k)) for i in range(WINDOW)]) for k in range(BANDS)]
     values = _windows(docs).select("doc", F.explode(F.array(*least)).alias("value"))
     return values.join(F.broadcast(template_bands(docs.sparkSession)), "value").select("doc", "template").distinct()
 
