@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -96,21 +95,28 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     if not rows:
         return Model()
     texts, y = [t or "" for t, _ in rows], np.array([r for _, r in rows], float)
-    present = [_present(words_of(t)) for t in texts]
-    with_one, without = Counter(), Counter()
-    for p, label in zip(present, y, strict=True):
-        (with_one if label else without).update(p)
+    ids: dict[bytes, int] = {}  # features are numbers from here on: a text's set of them would take 30 times the memory
+    present = [np.array([ids.setdefault(f, len(ids)) for f in _present(words_of(t))], np.int32) for t in texts]
     n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
-    gap = {f: with_one[f] / n1 - without[f] / n0 for f in with_one.keys() | without.keys() if with_one[f] + without[f] >= 3}
-    chosen = sorted(gap, key=lambda f: (-abs(gap[f]), f))[:MAX_FEATURES]
+    count = lambda own: np.bincount(np.concatenate([np.zeros(0, np.int32), *own]), minlength=len(ids))
+    with_one, without = count([p for p, v in zip(present, y, strict=True) if v]), count([p for p, v in zip(present, y, strict=True) if not v])
+    gap = np.where(with_one + without >= 3, np.abs(with_one / n1 - without / n0), 0.0)
+    names = list(ids)
+    chosen = [names[k] for k in sorted(np.flatnonzero(gap > 0).tolist(), key=lambda k: (-gap[k], names[k]))[:MAX_FEATURES]]
     pairs = _counterfactuals(texts)
-    number = {f: i for i, f in enumerate(dict.fromkeys([*chosen, *(f for a, b in pairs[: sum(len(g.split()) for g in IDENTITIES)] for f in a | b)]))}
+    number = {f: k for k, f in enumerate(dict.fromkeys([*chosen, *sorted({f for a, b in pairs[: sum(len(g.split()) for g in IDENTITIES)] for f in a | b})]))}
+    column = np.full(len(ids), -1, np.int64)
+    for f, k in number.items():
+        if f in ids:
+            column[ids[f]] = k
+    kept = [np.sort(c[c >= 0]) for c in (column[p] for p in present)]
+    row, col = np.repeat(np.arange(len(kept)), list(map(len, kept))), np.concatenate(kept)
+    del ids, names, present
 
     def matrix(sets: list[set[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         cols = [sorted(number[f] for f in s if f in number) for s in sets]
         return np.repeat(np.arange(len(sets)), list(map(len, cols))), np.array([c for x in cols for c in x], np.int64)
 
-    row, col = matrix(present)
     left, right = matrix([a - b for a, b in pairs]), matrix([b - a for a, b in pairs])
     n, m, d = len(y), len(number), len(pairs)
     w, bias = np.zeros(m), float(np.log(n1 / n0))
