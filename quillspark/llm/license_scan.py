@@ -1,11 +1,12 @@
-"""License scan: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
+"""License scan: MinHash bands over overlapping text windows and exact shingle hashes retrieve templates, exact shingle
+containment verifies them.
 
 Words are lower-case runs of letters and digits, shingles five words. A window has ``WINDOW`` shingles and starts every
-``STRIDE``. One band is one row: the least of the window's shingle hashes under one of ``BANDS`` hash functions
-(XXH64 with the band's number). A clause of the shortest length, one shingle, shares at least 1 of the 3 shingles
-of a window that holds it, so a window misses it with probability (1 - 1/3) ** 16 < 0.002; longer clauses are cut into
-pieces of ``WINDOW`` shingles, any of which suffices. Retrieved templates are kept if the document holds at least
-``CONTAINED`` of their shingles. Everything is native; the band values of the fixed templates are a small broadcast table.
+``STRIDE``, so neighbours share shingles. One band is one row: the least of the window's shingle hashes under one of
+``BANDS`` hash functions (XXH64 with the band's number). Bands alone can miss a short notice whatever their number, so the
+table also has each template's shingle hashes themselves, and each shingle of a text is looked up: a text that holds any
+shingle of a template retrieves it, with no chance of a miss. Retrieved templates are kept if the document holds at least
+``CONTAINED`` of their shingles. Everything is native; the values of the fixed templates are a small broadcast table.
 
 Defined results: a null text has no words; rows with a null doc_id are scanned alone but verified by no join, so they get
 no license; rows that repeat a doc_id share the licenses of all its rows; other columns are not read.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, let, small
 
-SHINGLE, WINDOW, STRIDE, BANDS, CONTAINED = 5, 3, 3, 16, 0.8
+SHINGLE, WINDOW, STRIDE, BANDS, CONTAINED = 5, 6, 3, 16, 0.8
 #: Public notices of well-known licenses; a license may have several.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -65,11 +66,13 @@ def _pieces() -> list[tuple[int, list[str]]]:
 
 
 def template_bands(spark: SparkSession) -> DataFrame:
-    """value, template: the band values of the templates' pieces; a small table, fixed by ``TEMPLATES``."""
+    """value, template: the band values of the templates' pieces and the hashes of their shingles; a small table, fixed by ``TEMPLATES``."""
     pieces = _pieces()
     words = spark.createDataFrame([(i, t, s.split(" ")) for i, (t, ss) in enumerate(pieces) for s in ss], "i int, template int, w array<string>")
-    h = words.select("i", "template", F.xxhash64(*[F.col("w")[k] for k in range(SHINGLE)]).alias("h"), F.explode(F.array(*map(F.lit, range(BANDS)))).alias("band"))
-    return h.groupBy("i", "template", "band").agg(F.min(F.xxhash64("h", "band")).alias("value")).select("value", "template").distinct()
+    hashes = words.select("i", "template", F.xxhash64(*[F.col("w")[k] for k in range(SHINGLE)]).alias("h"))
+    h = hashes.select("*", F.explode(F.array(*map(F.lit, range(BANDS)))).alias("band"))
+    bands = h.groupBy("i", "template", "band").agg(F.min(F.xxhash64("h", "band")).alias("value"))
+    return bands.select("value", "template").union(hashes.select("h", "template")).distinct()
 
 
 def _windows(docs: DataFrame) -> DataFrame:
@@ -91,9 +94,10 @@ def _windows(docs: DataFrame) -> DataFrame:
 
 
 def retrieve(docs: DataFrame) -> DataFrame:
-    """doc, template: what any band of any window retrieves."""
+    """doc, template: what any band of any window, or any shingle, retrieves."""
     least = [F.least(*[F.xxhash64(F.col(f"s{i}"), F.lit(k)) for i in range(WINDOW)]) for k in range(BANDS)]
-    values = _windows(docs).select("doc", F.explode(F.array(*least)).alias("value"))
+    own = [F.col(f"s{i}") for i in range(STRIDE)]  # the first shingles of all windows are all shingles
+    values = _windows(docs).select("doc", F.explode(F.array(*least, *own)).alias("value"))
     return values.join(F.broadcast(template_bands(docs.sparkSession)), "value").select("doc", "template").distinct()
 
 

@@ -77,6 +77,13 @@ def test_licenses(spark):
     assert {r.doc_id: r.licenses for r in got if r.n_licenses} == {10: "Apache-2.0", 11: "MIT", 12: "MIT"}
 
 
+def test_licenses_of_one_shingle_in_any_context(spark):
+    rng = random.Random(11)
+    around = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(6))
+    rows = [(i + 10, f"{around()} Released under the MIT License {around()}") for i in range(6000)]
+    assert license_scan.license_scan(frame(spark, rows)).where("licenses = 'MIT'").count() == len(rows)
+
+
 # --- 3 and 9 -----------------------------------------------------------------------------------------------------------
 
 
