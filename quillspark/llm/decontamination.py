@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage, small
 from .fm_index import FMIndex
 
 WINDOW, SHARD_BYTES, BLOCK_CHARS = 10, 16_000_000, 32_000_000
@@ -104,11 +105,14 @@ def search_shard(words: list[list[bytes]], phrases: Phrases) -> list[tuple[list[
     return out
 
 
-def _blocks(benchmark: DataFrame, window: int) -> Iterator[Phrases]:
-    """Phrases of blocks of items: each is collected alone, and its size is bounded by ``BLOCK_CHARS`` on average."""
+def _block_count(benchmark: DataFrame) -> int:
+    total = benchmark.agg(F.sum(F.length(F.col("text")))).first()[0] or 0
+    return max(1, -(-total // BLOCK_CHARS))
+
+
+def _blocks(benchmark: DataFrame, window: int, n: int) -> Iterator[Phrases]:
+    """Phrases of ``n`` blocks of items: each is collected alone, and its size is bounded by ``BLOCK_CHARS`` on average."""
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
-    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_CHARS))
     for b in range(n):
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b)
         yield Phrases([(r.i, r.t) for r in block.toLocalIterator()], window)
@@ -127,7 +131,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
 
-    parts = [one(p) for p in _blocks(benchmark, window)]
+    parts = [one(p) for p in _blocks(benchmark, window, _block_count(benchmark))]
     if len(parts) == 1:
         return parts[0]
     both = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
@@ -171,38 +175,46 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, held so that every pass sees the same ones."""
+    return cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def _cut(text: str, spans: list) -> tuple[str, bool]:
+    """The text without the spans of its words, and whether a word is left."""
+    data, at, out = text.encode(), 0, []
+    places = [m.span() for m in _WORD.finditer(data)]
+    for a, b in spans:
+        out.append(data[at : places[a][0]])
+        at = places[b - 1][1]
+    return b"".join([*out, data[at:]]).decode(), sum(b - a for a, b in spans) < len(places)
+
+
 def without_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` with each removal span cut from the text, from its first word to its last.
 
     All columns stay; ``n_chars`` follows the text. A text that loses its last word is dropped, others are kept.
-    Blocks of items are applied one after the other to what the ones before them left.
+    With several blocks of items, the spans of all are found on the texts as they come, merged for each row and cut once.
     """
     columns, schema = docs.columns, docs.schema
     lengths = "n_chars" in columns
 
-    def cut(phrases: Phrases):
-        shared = docs.sparkSession.sparkContext.broadcast(phrases)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                texts, keep = list(pdf["text"]), np.ones(len(pdf), bool)
-                words = [words_of(t) for t in texts]
-                for i, (spans, _) in enumerate(search_shard(words, shared.value)):
-                    if spans:
-                        data, at, out = texts[i].encode(), 0, []
-                        places = [m.span() for m in _WORD.finditer(data)]
-                        for a, b in spans:
-                            out.append(data[at : places[a][0]])
-                            at = places[b - 1][1]
-                        texts[i] = b"".join([*out, data[at:]]).decode()
-                        keep[i] = sum(b - a for a, b in spans) < len(places)
-                pdf = pdf.assign(text=texts)
-                if lengths:
-                    pdf["n_chars"] = [n if t is None else len(t) for t, n in zip(texts, pdf["n_chars"], strict=True)]
-                yield pdf[keep][columns]
-
-        return run
-
-    for phrases in _blocks(benchmark, window):
-        docs = docs.mapInPandas(cut(phrases), schema)
-    return docs
+    def run(batches: Iterator[pd.DataFrame], spans_of) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts, keep = list(pdf["text"]), np.ones(len(pdf), bool)
+            for i, spans in enumerate(spans_of(pdf)):
+                if spans is not None and len(spans):
+                    texts[i], keep[i] = _cut(texts[i], spans)
+            pdf = pdf.assign(text=texts)
+            if lengths:
+                pdf["n_chars"] = [n if t is None else len(t) for t, n in zip(texts, pdf["n_chars"], strict=True)]
+            yield pdf[keep][columns]
+
+    n = _block_count(benchmark)
+    if n > 1:
+        rows = _numbered(docs)
+        found = find_spans(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark, window)
+        hit = small(cut_lineage(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__row"), F.col("spans").alias("__spans"))))
+        return rows.join(hit, "__row", "left").mapInPandas(lambda batches: run(batches, lambda pdf: pdf["__spans"]), schema)
+    shared = docs.sparkSession.sparkContext.broadcast(next(_blocks(benchmark, window, n)))
+    return docs.mapInPandas(lambda batches: run(batches, lambda pdf: [s for s, _ in search_shard([words_of(t) for t in pdf["text"]], shared.value)]), schema)

@@ -214,6 +214,25 @@ def test_decontamination(spark, monkeypatch):
     assert kept[10] == "Before , after." and 11 not in kept and 3 not in kept and kept[12] == rows[2][1] and kept[1] is None and kept[2] == ""
 
 
+def overlapping():
+    """Rows and items whose windows overlap across items: one passage covers what is left of another."""
+    words = [f"w{i}" for i in range(1, 16)]
+    items = [(1, " ".join(words[:10])), (2, " ".join(words[5:])), (3, "p q"), (4, "a b")]
+    rows = [(10, f"Left {' '.join(words)} right"), (11, " ".join(words)), (12, "a p q b, and on"), (13, None), (None, f"no id {' '.join(words[5:])}"), (None, "no id"), (14, "a p q b, and on"), (14, "end a b")]
+    return rows, items
+
+
+def test_decontamination_cuts_blocks_at_once(spark, monkeypatch):
+    rows, items = overlapping()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for block in (10**9, 12):
+        monkeypatch.setattr(decontamination, "BLOCK_CHARS", block)
+        got.append(collections.Counter(tuple(r) for r in decontamination.without_phrases(frame(spark, rows).repartition(3), bench).collect()))
+    assert got[0] == got[1] and len({r[:2] for r in got[0]}) == 7
+    assert {r[1] for r in got[1]} == {"Left  right", "a  b, and on", None, "no id ", "no id", "end "}
+
+
 # --- 6 -----------------------------------------------------------------------------------------------------------------
 
 
