@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, let, small
 from .components import components
 
-THRESHOLD, NEAR_CHARS, HOT_LINES = 1, 24, 64
+THRESHOLD, NEAR_CHARS, HOT_LINES = 1, 8, 64
 _BLANKS = " \t\n\x0b\x0c\r"
 
 

@@ -384,6 +384,16 @@ def test_line_dedup(spark, monkeypatch, threshold, hot):
                 assert kept[i] == t
 
 
+@pytest.mark.parametrize("hot", [64, 2])
+def test_short_lines_are_joined(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT_LINES", hot)
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (8, 9, 12, 16, 20, 24)]
+    rows = [(10 + i, "\n".join(mutated(rng, rng.choice(base), rng.randint(0, 2)) for _ in range(4))) for i in range(60)] + [(90, "one line of 23 letters.."), (91, "one line of 23 letters.")]
+    got = {tuple(r) for r in line_dedup.removed_lines(frame(spark, rows), 1).collect()}
+    assert got == gone_lines(rows, 1) and (91, 0, True) in got
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------------
 
 
