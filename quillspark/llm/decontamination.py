@@ -7,7 +7,7 @@ suffix positions, and occurrences merge into removal spans. The job is map-only;
 blocks of at most ``BLOCK_CHARS`` characters, one pass for each block.
 
 Defined results: a null or empty text has no words, a null item no windows; rows with a null doc_id and repeated rows are
-searched as they come (with several blocks, rows of one doc_id become one); other columns are not read.
+searched as they come, each alone; other columns are not read.
 """
 
 from __future__ import annotations
@@ -120,6 +120,16 @@ def _blocks(benchmark: DataFrame, window: int, n: int) -> Iterator[Phrases]:
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, spans (word numbers, end exclusive) and items, for each row of ``docs``."""
+    n = _block_count(benchmark)
+    if n == 1:
+        return _spans(docs, benchmark, window, n)
+    rows = _numbered(docs.select(F.col("doc_id").cast("long").alias("__doc"), "text"))
+    found = _spans(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark, window, n).withColumnRenamed("doc_id", "__row")
+    return rows.select("__row", F.col("__doc").alias("doc_id")).join(found, "__row").drop("__row")
+
+
+def _spans(docs: DataFrame, benchmark: DataFrame, window: int, n: int) -> DataFrame:
+    """``find_spans`` over ``n`` blocks; with several, the results of a doc_id are merged, so it must be unique."""
 
     def one(phrases: Phrases) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(phrases)
@@ -131,7 +141,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
 
-    parts = [one(p) for p in _blocks(benchmark, window, _block_count(benchmark))]
+    parts = [one(p) for p in _blocks(benchmark, window, n)]
     if len(parts) == 1:
         return parts[0]
     both = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
@@ -213,7 +223,7 @@ def without_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     n = _block_count(benchmark)
     if n > 1:
         rows = _numbered(docs)
-        found = find_spans(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark, window)
+        found = _spans(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark, window, n)
         hit = small(cut_lineage(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__row"), F.col("spans").alias("__spans"))))
         return rows.join(hit, "__row", "left").mapInPandas(lambda batches: run(batches, lambda pdf: pdf["__spans"]), schema)
     shared = docs.sparkSession.sparkContext.broadcast(next(_blocks(benchmark, window, n)))

@@ -233,6 +233,16 @@ def test_decontamination_cuts_blocks_at_once(spark, monkeypatch):
     assert {r[1] for r in got[1]} == {"Left  right", "a  b, and on", None, "no id ", "no id", "end "}
 
 
+def test_contamination_keeps_rows_apart_in_blocks(spark, monkeypatch):
+    rows, items = overlapping()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for block in (10**9, 12):
+        monkeypatch.setattr(decontamination, "BLOCK_CHARS", block)
+        got.append(collections.Counter(tuple(r) for r in decontamination.contamination(frame(spark, rows), bench).collect()))
+    assert got[0] == got[1] and sum(got[1].values()) == len(rows)
+
+
 # --- 6 -----------------------------------------------------------------------------------------------------------------
 
 
