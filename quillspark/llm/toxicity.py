@@ -3,7 +3,8 @@
 Features are the words of a text and their beginnings (``PREFIXES`` bytes), each present or not. Besides the log loss,
 training penalises what a swap of an identity term for another of its kind changes in the score: for the labelled
 sentences that name one, and for a neutral mention of each pair of terms. So the terms themselves carry no weight.
-The driver sees ``SAMPLE_ROWS`` labelled rows at most (least hash of the doc_id first); scoring is map-only over all texts.
+The driver sees ``SAMPLE_ROWS`` labelled rows at most (least hash of the doc_id first) and fits on ``SAMPLE_CHARS``
+characters of them at most; a row that would exceed these is skipped. Scoring is map-only over all texts.
 
 Defined results: a null text counts as empty and gets the score of no feature; rows with a null doc_id are not held out and
 never learnt from; repeated rows are scored as they come; rows without a label are not learnt from; with no labels at all
@@ -136,16 +137,25 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``sample_rows`` labelled rows that are not held out."""
+    """Fit on at most ``sample_rows`` labelled rows that are not held out.
+
+    In the order of the hash, a row whose text would bring the total over ``SAMPLE_CHARS`` is skipped, those after it are
+    not; a text that is longer alone doesn't reach the driver. Raises if that leaves no row of those with a label.
+    """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     drawn = usable.select(F.col("doc_id").cast("long").alias("__id"), "toxic").orderBy(F.xxhash64("__id"), "__id", "toxic").limit(sample_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(drawn), "__id").select("__id", "text", F.col("toxic").cast("int").alias("toxic"))
-    rows, size = [], 0
+    n = F.coalesce(F.length("text"), F.lit(0))
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), n.alias("n"), F.when(n <= SAMPLE_CHARS, F.col("text")).alias("text")).join(F.broadcast(drawn), "__id")
+    texts = texts.select("__id", "n", "text", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("__id"), "__id", "toxic", "n", F.xxhash64("text"))
+    rows, size, skipped = [], 0, 0
     for r in texts.toLocalIterator():
-        size += len(r.text or "")
-        if size > SAMPLE_CHARS:
-            break
+        if size + r.n > SAMPLE_CHARS:
+            skipped += 1
+            continue
+        size += r.n
         rows.append((r["__id"], r.text or "", r.toxic))
+    if skipped and not rows:
+        raise ValueError(f"each of the {skipped} labelled texts has over {SAMPLE_CHARS} characters: nothing to fit on")
     rows.sort()
     return fit([(t, y) for _, t, y in rows])
 

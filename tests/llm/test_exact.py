@@ -275,6 +275,17 @@ def test_toxicity_frames(spark):
     assert kept == {i for i in range(10, 110) if i % 5}
 
 
+def test_toxicity_skips_a_long_text_only(spark, monkeypatch):
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(10, 110)], "doc_id long, toxic int")
+    rows = [(i, ("zark you" if i % 5 == 0 else "kind words") + " again and again" * (1000 if i == 11 else 0)) for i in range(10, 110)]
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 5000)
+    got = toxicity.toxicity(frame(spark, sorted(rows, key=lambda r: r[0] != 11)).coalesce(1), labels).collect()
+    assert len(got) == len(rows) and all(r.predicted == (r.doc_id % 5 == 0) for r in got if r.doc_id != 11)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 5)
+    with pytest.raises(ValueError, match="nothing to fit"):
+        toxicity.toxicity(frame(spark, rows), labels)
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------------------
 
 
