@@ -145,3 +145,15 @@ def test_queries_match_sql(spark, name):
     want = con.sql(__spark_entry__.oracle_sql()[name]).df()
     rows = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(object).where(d.notna(), None).map(lambda v: round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v).itertuples(index=False, name=None)))
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_topic_reuse_groups_every_document(spark, tmp_path):
+    docs = [(i, "abc"[i % 3] if i < 60 else "d") for i in range(1, 91)]
+    spark.createDataFrame(docs, "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.grp: tuple(r)[1:] for r in __spark_entry__.queries()["topic_jaccard_reuse"](spark, str(tmp_path)).collect()}
+    want = {}
+    for g in "abcd":
+        now, old = {i for i, s in docs if s == g}, {i for i, s in docs if s == g and i % 7}
+        j = len(now & old) / len(now | old)
+        want[g] = (f"t-{g}", round(j, 6), j < 0.8)
+    assert got == want
