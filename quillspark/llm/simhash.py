@@ -1,9 +1,9 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Two fingerprints within ``RADIUS`` bits share a variant within half the radius of both. Every distinct fingerprint has
-2081 such variants; they are shuffled by a prefix, so that a fingerprint travels once for each prefix that its variants
+Two fingerprints within ``RADIUS`` bits share a variant within half the radius of both (an odd radius: within the lower
+half of one, the upper half of the other). Every distinct fingerprint has 2081 such variants at radius 4; they are shuffled by a prefix, so that a fingerprint travels once for each prefix that its variants
 can have, and the variants of a prefix are expanded where they meet. All fingerprints of one variant are within the
-radius of each other, so each is linked to the least of them (verified), not to all. The prefix grows with the number of
+radius of one in its lower half, so each is linked to one such (verified), not to all. The prefix grows with the number of
 fingerprints, which keeps the work of a prefix level. Copies are one fingerprint, and a ball of radius 4 has at most
 679 121 fingerprints, which bounds a hot prefix; a task expands it in parts. Components are computed distributed.
 
@@ -14,6 +14,7 @@ component of their fingerprint (null if no doc_id has it); repeated rows are ret
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ from .common import cut_lineage
 from .components import components
 
 SHINGLE, SEED, BITS, RADIUS = 4, 42, 64, 4
+#: A greater radius raises: a fingerprint would have over 8 million variants.
+MOST_RADIUS = 8
 #: Variants that one prefix should have on average; and the most that a task holds at a time.
 PREFIX_VARIANTS, HELD_VARIANTS = 500_000, 3_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -58,15 +61,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
 
 
+@lru_cache(maxsize=64)
 def _flips(bits: int, most: int) -> np.ndarray:
     """All masks over the low ``bits`` bits with at most ``most`` ones."""
-    one = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-    masks = [np.zeros(1, np.uint64)]
-    if most >= 1:
-        masks.append(one)
-    if most >= 2:
-        i, j = np.triu_indices(bits, 1)
-        masks.append(one[i] | one[j])
+    masks, top = [np.zeros(1, np.uint64)], np.array([-1])
+    for _ in range(min(most, bits)):
+        more = bits - 1 - top
+        top = np.repeat(top, more) + 1 + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+        masks.append(np.repeat(masks[-1], more) | np.uint64(1) << top.astype(np.uint64))
     return np.concatenate(masks)
 
 
@@ -86,8 +88,11 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _collide(fp: np.ndarray, prefix: int, bits: int, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (index, index) of fingerprints that share a variant whose ``bits`` highest bits are ``prefix``."""
+def _collide(fp: np.ndarray, prefix: int, bits: int, half: int, odd: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (index, index) of fingerprints that share a variant whose ``bits`` highest bits are ``prefix``.
+
+    Each is paired with one of the variant's fingerprints: with the nearest to the variant if ``odd``.
+    """
     low_bits = BITS - bits
     apart = np.bitwise_count((fp >> np.uint64(low_bits)) ^ np.uint64(prefix)) if bits else np.zeros(len(fp), np.uint8)
     near = np.flatnonzero(apart <= half)
@@ -95,7 +100,7 @@ def _collide(fp: np.ndarray, prefix: int, bits: int, half: int) -> tuple[np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     masks = [_flips(low_bits, half - d) for d in range(half + 1)]
     if sum(int((apart == d).sum()) * len(masks[d]) for d in range(half + 1)) > HELD_VARIANTS and low_bits > 2:
-        parts = [_collide(fp[near], prefix << 1 | b, bits + 1, half) for b in (0, 1)]  # one more bit of the prefix
+        parts = [_collide(fp[near], prefix << 1 | b, bits + 1, half, odd) for b in (0, 1)]  # one more bit of the prefix
         return near[np.concatenate([p[0] for p in parts])], near[np.concatenate([p[1] for p in parts])]
     keep = np.uint64((1 << low_bits) - 1)
     variants, who = [], []
@@ -104,7 +109,7 @@ def _collide(fp: np.ndarray, prefix: int, bits: int, half: int) -> tuple[np.ndar
         variants.append(((fp[own] & keep)[:, None] ^ masks[d]).reshape(-1))
         who.append(np.repeat(own, len(masks[d])))
     variants, who = np.concatenate(variants), np.concatenate(who)
-    order = np.argsort(variants, kind="stable")
+    order = np.lexsort([np.bitwise_count(fp[who] ^ (variants | np.uint64(prefix << low_bits))), variants]) if odd else np.argsort(variants, kind="stable")
     variants = variants[order]
     same = np.flatnonzero(variants[1:] == variants[:-1])
     if not len(same):
@@ -118,7 +123,9 @@ def _collide(fp: np.ndarray, prefix: int, bits: int, half: int) -> tuple[np.ndar
 
 def link(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc, root for distinct ``prints`` (fp, doc): pairs that connect whatever lies within ``radius`` bits."""
-    half = radius // 2
+    if not 0 <= radius <= MOST_RADIUS:
+        raise ValueError(f"radius {radius} is not within 0 and {MOST_RADIUS}")
+    half, odd = (radius + 1) // 2, radius % 2 == 1
     n = prints.count()
     total = n * len(_flips(BITS, half))
     bits = min(32, max(2, (total // PREFIX_VARIANTS).bit_length()))
@@ -129,7 +136,7 @@ def link(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fp, doc = pdf["fp"].to_numpy().view("u8"), pdf["doc"].to_numpy()
-        a, b = _collide(fp, int(key[0]), bits, half)
+        a, b = _collide(fp, int(key[0]), bits, half, odd)
         close = np.bitwise_count(fp[a] ^ fp[b]) <= radius
         a, b = a[close], b[close]
         nodes, local = np.unique(np.concatenate([a, b]), return_inverse=True)

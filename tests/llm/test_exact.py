@@ -326,6 +326,31 @@ def test_simhash(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == {i for i in prints if roots[i] == i} | {None} and kept.columns == frame(spark, rows).columns
 
 
+@pytest.mark.parametrize("radius", [1, 3, 5, 6])
+def test_simhash_any_radius(spark, monkeypatch, radius):
+    monkeypatch.setattr(simhash, "PREFIX_VARIANTS", 500_000)
+    rng = random.Random(radius)
+    flipped = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(64), k))
+    bases = [rng.getrandbits(64) for _ in range(6)]
+    prints = dict(enumerate(dict.fromkeys([*bases, *(flipped(b, radius) for b in bases for _ in range(3)), *(flipped(b, radius + 1) for b in bases)])))
+    rows = [(x - (1 << 64) if x >> 63 else x, i) for i, x in prints.items()]
+    found = simhash.link(spark.createDataFrame(rows, "fp long, doc long"), radius).collect()
+
+    def roots(pairs):
+        own = {i: {i} for i in prints}
+        for a, b in pairs:
+            both = own[a] | own[b]
+            own |= dict.fromkeys(both, both)
+        return {i: min(s) for i, s in own.items()}
+
+    assert roots((r.doc, r.root) for r in found) == roots((i, j) for i in prints for j in prints if (prints[i] ^ prints[j]).bit_count() <= radius)
+
+
+def test_simhash_radius_out_of_range(spark):
+    with pytest.raises(ValueError, match="radius"):
+        simhash.link(spark.createDataFrame([], "fp long, doc long"), 9)
+
+
 # --- 8 -----------------------------------------------------------------------------------------------------------------
 
 
