@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only where the session names no shared folder (tests, local runs).
-_LOCAL_CHECKPOINTS = "quillspark-checkpoints-"
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; set one only where none is set (local tests)."""
+    """Use the shared folder that the session names. Without one, a cluster is refused: its executors and driver share
+    no other folder. A single-process session (``local[...]``) uses a folder in its warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix=_LOCAL_CHECKPOINTS))
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -46,3 +43,24 @@ SMALL_ROWS = 300_000
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows (counted), else as it is. For checkpointed frames."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def with_text_id(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with doc_id as long and ``part``, which tells apart rows that share a doc_id: 0 where all
+    rows of the doc_id have one text, else the text's XXH64. Rows equal in both are one document.
+
+    Only two hashes for each doc_id are aggregated; the repeated doc_ids, hardly any, come back by a broadcast if counted small.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    h = F.xxhash64("text")
+    several = own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("again"))
+    joined = own.join(small(cut_lineage(several)), F.col("doc_id") == F.col("again"), "left")
+    return joined.select("doc_id", F.when(F.col("again").isNull(), F.lit(0).cast("long")).otherwise(h).alias("part"), "text")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, so that no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -2,41 +2,49 @@
 
 Every byte goes that a ``LENGTH``-byte string covers which also starts earlier. To spread one suffix array over a
 cluster, windows of that length are dealt out by their minimiser (least hash of the GRAM-byte strings inside), which
-depends on their content alone: equal windows meet. Consecutive windows of one minimiser travel as one run.
-
-1. Map: runs of each document (minimiser, content hash, place), without text. Equal runs of one chunk of a partition are
-   settled there, so a passage that a third of all documents share leaves each chunk once.
-2. Equal runs settle by their hashes: all but the first are covered. A run that is alone with its minimiser and
-   holds it once has no repeat. What is left (the edges of repeats, and periodic text) gets its text.
-3. For each minimiser, the grouping construction (``grouping_sort``) orders the suffixes of its runs; neighbours in that
-   order that agree in LENGTH bytes are repeats of the one that starts first. A minimiser with more than ``HOT_RUNS`` different runs is
-   dealt out again window by window, equal windows of a chunk once.
+depends on their content alone: equal windows meet. Consecutive windows of one minimiser travel as one run. Hashes only
+deal out; what repeats is read off suffix arrays (``grouping_sort``): neighbours that agree in LENGTH bytes.
+
+1. Map: runs of each document, without text. Runs of one chunk that may be equal are sorted there, and those that repeat
+   throughout go no further, so a passage that a third of all documents share leaves each chunk once.
+2. A run that is alone with its minimiser and holds it once can't repeat and is done. All others get their text.
+3. The runs of each minimiser are sorted. Tasks read them in the order of the minimisers, a few MB at a time.
 4. Covered spans are merged for each document.
 
+A minimiser with more than ``HOT_RUNS`` runs is first dealt out again, in rounds: a salt splits its runs into parts, each
+part is sorted, what repeats there throughout goes, and the rest is dealt out under a longer key: the windows of a run
+are halved by where the minimiser stands in them, and each half is known in more bytes around it (67, then 84, up to all
+100, where every run under a key is the same window and a part keeps one). So no task holds more than some thousand runs.
+
 Defined results: a null text counts as empty; rows with a null doc_id are returned whole and repeat nobody; rows that
-repeat a doc_id with the same text are one document; other columns are not read.
+repeat a doc_id with the same text are one document; with different texts they are different documents, of which the one
+with the lesser hash of its text counts as the earlier; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
-from .grouping_sort import suffix_array
+from .common import cut_lineage, small, with_text_id
+from .grouping_sort import suffix_arrays
 
 LENGTH, GRAM = 100, 32
 LONGEST_RUN, CHUNK_BYTES, HOT_RUNS = 100, 1_500_000, 2000
+#: Text that a task sorts at a time; a minimiser's runs are not parted.
+SORTED_BYTES = 3_000_000
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_RUN = "key long, doc long, start long, n int, c long"
-_EDGE = "doc long, start long, n int, key long, hot boolean"
+_RUN = "key long, doc long, part long, start long, n int, twin boolean"
+_TEXT_RUN = "key long, doc long, part long, start long, n int, at int, low int, high int, text binary"
+_SPAN = "doc long, part long, start long, stop long"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -90,25 +98,59 @@ def _twins(least: np.ndarray, grams: np.ndarray, first: np.ndarray, n: np.ndarra
     return out
 
 
-def _merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Union of the intervals of each document."""
-    if not len(doc):
-        return doc, start, end
-    order = np.lexsort([start, doc])
-    doc, start, end = doc[order], start[order], end[order]
-    top = int(end.max()) + 1
-    _, d = np.unique(doc, return_inverse=True)
-    d = d.reshape(-1).astype(np.int64)
-    reach = np.maximum.accumulate(end + d * top) - d * top
-    new = np.concatenate([[True], (d[1:] != d[:-1]) | (start[1:] > reach[:-1])])
-    first = np.flatnonzero(new)
-    return doc[first], start[first], np.maximum.reduceat(end, first)
-
-
-def _runs(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> pd.DataFrame:
-    """Runs of a chunk of pieces of documents; equal ones, but the first, leave as covered spans (n < 0: minus their length)."""
+def _ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each entry, ``count`` of them."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def _repeats(group: np.ndarray, n: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(run, window) of each window of the runs that equals an earlier one of its group, by the groups' suffix arrays.
+
+    Runs come by group, and in it in the order that says what is earlier.
+    """
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    at = np.cumsum(size + 1 + new) - size - 1  # a guard before each group, a separator after each run
+    data = np.zeros(int(at[-1] + size[-1]) + 1, np.uint8)
+    data[_ragged(at, size)] = np.frombuffer(b"".join(texts), np.uint8)
+    begins = np.flatnonzero(new)
+    order = suffix_arrays(data, at[begins], np.add.reduceat(size + 1, begins))
+    run_at = np.full(len(data), -1, np.int64)
+    run_at[_ragged(at, n.astype(np.int64))] = np.repeat(np.arange(len(n)), n)
+    order = order[order >= 0]
+    order = order[run_at[order] >= 0]
+    of_group = (np.cumsum(new) - 1)[run_at[order]]
+    words = np.zeros(len(data), np.uint64)  # eight bytes from each place
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    for k in range(8):
+        words |= padded[k : k + len(data)].astype(np.uint64) << np.uint64(8 * k)
+    equal = np.flatnonzero(of_group[1:] == of_group[:-1])
+    for k in (LENGTH - 8, *range(0, LENGTH - 8, 8)):
+        equal = equal[words[order[equal] + k] == words[order[equal + 1] + k]]
+    first = np.ones(len(order), bool)
+    first[equal + 1] = False
+    begins = np.flatnonzero(first)
+    earliest = np.repeat(np.minimum.reduceat(order, begins), np.diff(np.concatenate([begins, [len(order)]])))
+    later = np.sort(order[order != earliest])
+    run = run_at[later]
+    return run, later - at[run]
+
+
+def _spans(run: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merged (run, begin, end) of repeated windows, which come in order."""
+    if not len(run):
+        return run, window, window
+    new = np.concatenate([[True], (run[1:] != run[:-1]) | (window[1:] > window[:-1] + LENGTH)])
+    last = np.concatenate([new[1:], [True]])
+    return run[new], window[new], window[last] + LENGTH
+
+
+def _runs(docs: np.ndarray, parts: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> pd.DataFrame:
+    """Runs of a chunk of pieces of documents, but those that repeat throughout in the chunk; what is covered there comes as
+    spans (n < 0: minus their length)."""
     lengths = np.array([len(p) for p in pieces], np.int64)
-    least, content, grams = window_hashes(np.frombuffer(b"".join(pieces), np.uint8))
+    data = b"".join(pieces)
+    least, content, grams = window_hashes(np.frombuffer(data, np.uint8))
     begin = np.cumsum(lengths) - lengths
     piece = np.repeat(np.arange(len(pieces)), lengths)[: len(least)]
     at = np.arange(len(least))
@@ -122,167 +164,189 @@ def _runs(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> pd.DataF
     stop = stop[np.searchsorted(stop, first, side="right")]
     n = n_valid[stop] - n_valid[first]
     key, c = least[first], _mixed(content[first] * _BASE + _mixed(content[first + n - 1]) + n.astype(np.uint64))
-    c = (c & ~np.uint64(1)) | _twins(least, grams, first, n)  # the lowest bit: may repeat within itself
-    doc, start = docs[piece[first]], starts[piece[first]] + first - begin[piece[first]]
-    order = np.lexsort([start, doc, c])
-    key, c, doc, start, n = key[order], c[order], doc[order], start[order], n[order]
-    repeat = np.concatenate([[False], (c[1:] == c[:-1]) & (key[1:] == key[:-1])])
-    gone_doc, gone_start, gone_end = _merge(doc[repeat], start[repeat], start[repeat] + n[repeat] + LENGTH - 1)
-    kept = ~repeat
+    twin = _twins(least, grams, first, n)
+    doc, part, start = docs[piece[first]], parts[piece[first]], starts[piece[first]] + first - begin[piece[first]]
+    order = np.lexsort([start, part, doc, c, key])
+    key, c, doc, part, start, n, first, twin = (x[order] for x in (key, c, doc, part, start, n, first, twin))
+    alike = np.concatenate([[False], (c[1:] == c[:-1]) & (key[1:] == key[:-1]), [False]])
+    some = np.flatnonzero(alike[1:] | alike[:-1])
+    kept = np.ones(len(key), bool)
+    run, low, high = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(some):
+        texts = [data[a : a + k + LENGTH - 1] for a, k in zip(first[some].tolist(), n[some].tolist(), strict=True)]
+        run, window = _repeats(np.cumsum(~alike[:-1][some]), n[some], texts)
+        kept[some[np.bincount(run, minlength=len(some)) == n[some]]] = False
+        run, low, high = _spans(some[run], window)
     return pd.DataFrame(
         {
-            "key": np.concatenate([key[kept].view("i8"), _mixed(gone_doc.astype(np.uint64) + gone_start.astype(np.uint64)).view("i8")]),
-            "doc": np.concatenate([doc[kept], gone_doc]),
-            "start": np.concatenate([start[kept], gone_start]),
-            "n": np.concatenate([n[kept], gone_start - gone_end]).astype("i4"),
-            "c": np.concatenate([c[kept].view("i8"), np.zeros(len(gone_doc), "i8")]),
+            "key": np.concatenate([key[kept], _mixed(key[run] + low.astype(np.uint64) + run.astype(np.uint64))]).view("i8"),
+            "doc": np.concatenate([doc[kept], doc[run]]),
+            "part": np.concatenate([part[kept], part[run]]),
+            "start": np.concatenate([start[kept], start[run] + low]),
+            "n": np.concatenate([n[kept], low - high]).astype("i4"),
+            "twin": np.concatenate([twin[kept], np.zeros(len(run), bool)]),
         }
     )
 
 
 def _find_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    docs, starts, pieces, size = [], [], [], 0
+    docs, parts, starts, pieces, size = [], [], [], [], 0
     for pdf in batches:
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+        for doc_id, part, text in zip(pdf["doc_id"], pdf["part"], pdf["text"], strict=True):
             data = (text or "").encode()
             for a in range(0, max(0, len(data) - LENGTH + 1), CHUNK_BYTES):
                 piece = data[a : a + CHUNK_BYTES + LENGTH - 1]
                 docs.append(doc_id)
+                parts.append(part)
                 starts.append(a)
                 pieces.append(piece)
                 size += len(piece)
                 if size >= CHUNK_BYTES:
-                    yield _runs(np.array(docs, np.int64), np.array(starts, np.int64), pieces)
-                    docs, starts, pieces, size = [], [], [], 0
+                    yield _runs(np.array(docs, np.int64), np.array(parts, np.int64), np.array(starts, np.int64), pieces)
+                    docs, parts, starts, pieces, size = [], [], [], [], 0
     if pieces:
-        yield _runs(np.array(docs, np.int64), np.array(starts, np.int64), pieces)
-
-
-def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One partition of runs by minimiser: covered spans (key null), and different runs of one minimiser."""
-    parts = [{k: b[k].to_numpy() for k in b} for b in batches if len(b)]
-    if not parts:
-        return
-    key, doc, start, n, c = (np.concatenate([p.pop(k) for p in parts]) for k in ("key", "doc", "start", "n", "c"))
-    gone = n < 0
-    spans = [(doc[gone], start[gone], start[gone] - n[gone])]
-    key, doc, start, n, c = (x[~gone] for x in (key, doc, start, n, c))
-    order = np.lexsort([start, doc, c, key])
-    key, doc, start, n, c = (x[order] for x in (key, doc, start, n, c))
-    repeat = np.concatenate([[False], (c[1:] == c[:-1]) & (key[1:] == key[:-1])])[: len(key)]
-    spans.append((doc[repeat], start[repeat], start[repeat] + n[repeat] + LENGTH - 1))
-    key, doc, start, n, c = (x[~repeat] for x in (key, doc, start, n, c))
-    if len(key):
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.concatenate([first, [len(key)]]))
-        many = np.repeat(size > 1, size) | (c & 1 == 1)
-        hot = np.repeat(size > HOT_RUNS, size)[many]
-        yield pd.DataFrame({"doc": doc[many], "start": start[many], "n": n[many], "key": key[many], "hot": hot})
-    d, s, e = _merge(*(np.concatenate([x[i] for x in spans]) for i in range(3)))
-    yield pd.DataFrame({"doc": d, "start": s, "n": (e - s).astype("i4"), "key": None, "hot": False}).astype({"key": "Int64"})
+        yield _runs(np.array(docs, np.int64), np.array(parts, np.int64), np.array(starts, np.int64), pieces)
 
 
 def _with_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """key, doc, start, n, text of each run; a hot minimiser's runs leave as single windows, equal ones of a batch once."""
+    """The runs of each document with their text."""
     for pdf in batches:
-        rows, windows, spans = [], {}, []
-        for doc, text, runs in zip(pdf["doc_id"], pdf["text"], pdf["runs"], strict=True):
-            if runs is None:
-                continue
-            data = (text or "").encode()
-            for r in runs:
-                start, n = r["start"], r["n"]
-                if not r["hot"]:
-                    rows.append((r["key"], doc, start, n, data[start : start + n + LENGTH - 1]))
-                    continue
-                for i in range(start, start + n):
-                    w = data[i : i + LENGTH]
-                    if (seen := windows.get(w)) is None:
-                        windows[w] = (doc, i)
-                        continue
-                    later = max(seen, (doc, i))
-                    windows[w] = min(seen, (doc, i))
-                    if seen != (doc, i):
-                        spans.append((*later, later[1] + LENGTH))
-        for w, (doc, i) in windows.items():
-            rows.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "big", signed=True), doc, i, 1, w))
-        if spans:
-            for d, s, e in zip(*(x.tolist() for x in _merge(*np.array(spans, np.int64).T)), strict=True):
-                rows.append((d ^ (s << 32), d, s, s - e, b""))
-        yield pd.DataFrame(rows, columns=["key", "doc", "start", "n", "text"])
-
-
-def _repeats(runs: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
-    """(document, start) of each window of the runs of one minimiser that also starts earlier, by their suffix array."""
-    runs = sorted(runs)
-    owner: list[int] = []
-    begin, at = [], 0
-    for k, (_, _, n, text) in enumerate(runs):
-        begin.append(at)
-        at += len(text) + 1
-        owner += [k] * n + [-1] * (len(text) + 1 - n)
-    joined = b"\0".join(r[3] for r in runs) + b"\0"
-    out: list[tuple[int, int]] = []
-    window, group = b"", []
-    for p in suffix_array(joined):
-        k = owner[p]
-        if k < 0:
-            continue
-        here = joined[p : p + LENGTH]
-        place = (runs[k][0], runs[k][1] + p - begin[k])
-        if here == window:
-            group.append(place)
+        rows = []
+        for doc, part, text, runs in zip(pdf["doc_id"], pdf["part"], pdf["text"], pdf["runs"], strict=True):
+            if runs is not None:
+                data = (text or "").encode()
+                rows += [(r["key"], doc, part, r["start"], r["n"], -1, 0, LENGTH - GRAM + 1, data[r["start"] : r["start"] + r["n"] + LENGTH - 1]) for r in runs]
+        yield pd.DataFrame(rows, columns=["key", "doc", "part", "start", "n", "at", "low", "high", "text"])
+
+
+def _by_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``keys``, some MB at a time, no group parted."""
+    held, size = [], 0
+    for pdf in batches:
+        if not len(pdf):
             continue
-        if len(group) > 1:
-            least = min(group)
-            out += [g for g in group if g != least]
-        window, group = here, [place]
-    if len(group) > 1:
-        least = min(group)
-        out += [g for g in group if g != least]
+        held.append(pdf)
+        size += int(pdf["text"].map(len).sum())
+        if size >= SORTED_BYTES:
+            both = pd.concat(held, ignore_index=True)
+            differs = np.zeros(len(both) - 1, bool)
+            for k in keys:
+                v = both[k].to_numpy()
+                differs |= v[1:] != v[:-1]
+            edges = np.flatnonzero(differs)
+            if len(edges):
+                yield both.iloc[: edges[-1] + 1]
+                both = both.iloc[edges[-1] + 1 :]
+            held, size = [both], int(both["text"].map(len).sum())
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _numbers(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    new = np.zeros(len(pdf), np.int64)
+    for k in keys:
+        v = pdf[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.cumsum(new)
+
+
+def _sort_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in _by_group(batches, ["key"]):
+        run, low, high = _spans(*_repeats(_numbers(pdf, ["key"]), pdf["n"].to_numpy(), pdf["text"].tolist()))
+        start = pdf["start"].to_numpy()[run]
+        yield pd.DataFrame({"doc": pdf["doc"].to_numpy()[run], "part": pdf["part"].to_numpy()[run], "start": start + low, "stop": start + high})
+
+
+def _halves(key: int, n: int, at: int, low: int, high: int, text: bytes) -> list[tuple[int, int, int, int, int, int]]:
+    """(key, first window, n, at, low, high) of the parts of a run under longer keys.
+
+    ``at`` is the minimiser's place in the run (-1: not looked for yet), ``low <= at - window < high`` for its windows;
+    all windows of such a range share the bytes from ``at - low`` to ``at - high + LENGTH + 1``.
+    """
+    if at < 0:  # each window under the first minimiser in it
+        _, _, grams = window_hashes(np.frombuffer(text, np.uint8))
+        places = np.flatnonzero(grams == np.array([key], np.int64).view(np.uint64)[0])
+        own = places[np.searchsorted(places, np.arange(n))]
+        edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])).tolist()
+        runs = [(a, b - a, int(own[a]) - a) for a, b in zip(edges, edges[1:], strict=False)]
+    else:
+        runs = [(0, n, at)]
+    middle = (low + high) // 2
+    out = []
+    for a, k, place in runs:
+        cut = min(max(place - middle + 1, 0), k)  # windows before it have the minimiser at ``middle`` or later
+        for w, count, lo, hi in ((a, cut, middle, high), (a + cut, k - cut, low, middle)):
+            if count and hi > lo:
+                p = place - (w - a)
+                known = text[w + p - lo : w + p - hi + LENGTH + 1]
+                digest = hashlib.blake2b(known, digest_size=8, salt=lo.to_bytes(4, "big") + hi.to_bytes(4, "big")).digest()
+                out.append((int.from_bytes(digest, "big", signed=True), w, count, p, lo, hi))
     return out
 
 
-def _sort_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    groups: dict[int, dict[bytes, tuple[int, int, int]]] = {}
-    doc, start, end = [], [], []
-    for pdf in batches:
-        for key, d, s, n, text in pdf[["key", "doc", "start", "n", "text"]].itertuples(index=False):
-            if n < 0:
-                doc.append(d), start.append(s), end.append(s - n)
-                continue
-            runs = groups.setdefault(key, {})
-            seen = runs.get(text)
-            if seen is None or seen[:2] == (d, s):
-                runs[text] = (d, s, n)
+def _sort_and_split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One round for the parts of hot keys: spans (n < 0), and what is left under longer keys."""
+    for pdf in _by_group(batches, ["key", "salt"]):
+        n, texts = pdf["n"].to_numpy(), pdf["text"].tolist()
+        run, window = _repeats(_numbers(pdf, ["key", "salt"]), n, texts)
+        whole = np.bincount(run, minlength=len(n)) == n
+        rows, records = [], list(pdf[["key", "doc", "part", "start", "n", "at", "low", "high"]].itertuples(index=False, name=None))
+        for k, a, b in zip(*(x.tolist() for x in _spans(run, window)), strict=True):
+            key, doc, part, start = records[k][:4]
+            rows.append((key, doc, part, start + a, a - b, -1, 0, 0, b""))
+        for k in np.flatnonzero(~whole).tolist():
+            key, doc, part, start, count, at, low, high = records[k]
+            if high - low == 1:
+                rows.append((*records[k], texts[k]))
                 continue
-            first, later = sorted([seen, (d, s, n)])
-            runs[text] = first
-            doc.append(later[0]), start.append(later[1]), end.append(later[1] + n + LENGTH - 1)
-    for runs in groups.values():
-        if len(runs) > 1 or next(iter(runs.values()))[2] > 1:
-            for d, s in _repeats([(*place, text) for text, place in runs.items()]):
-                doc.append(d), start.append(s), end.append(s + LENGTH)
-    d, s, e = _merge(np.array(doc, np.int64), np.array(start, np.int64), np.array(end, np.int64))
-    yield pd.DataFrame({"doc": d, "start": s, "stop": e})
+            for new, w, c, p, lo, hi in _halves(key, count, at, low, high, texts[k]):
+                rows.append((new, doc, part, start + w, c, p, lo, hi, texts[k][w : w + c + LENGTH - 1]))
+        yield pd.DataFrame(rows, columns=["key", "doc", "part", "start", "n", "at", "low", "high", "text"])
+
+
+def _deal_hot(runs: DataFrame, spans: list[DataFrame]) -> DataFrame:
+    """``runs`` of hot keys, dealt out until no key has more than ``HOT_RUNS``; what is covered on the way goes to ``spans``."""
+    while True:
+        hot = cut_lineage(runs.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT_RUNS))
+        if hot.isEmpty():
+            return runs
+        hot = small(hot)
+        salted = runs.join(hot, "key").withColumn("salt", F.pmod(F.xxhash64("doc", "part", "start"), F.ceil(F.col("m") * 2 / HOT_RUNS)).cast("int")).drop("m")
+        done = cut_lineage(salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc", "part", "start").mapInPandas(_sort_and_split, _TEXT_RUN))
+        spans.append(done.where("n < 0").select("doc", "part", "start", (F.col("start") - F.col("n")).alias("stop")))
+        runs = cut_lineage(runs.join(hot.select("key"), "key", "left_anti").unionByName(done.where("n > 0")))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text and spans (start and end of removed bytes, merged) for each row of ``docs``."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = with_text_id(docs)
     runs = texts.where("doc_id IS NOT NULL").mapInPandas(_find_runs, _RUN)
-    settled = cut_lineage(runs.repartition("key").mapInPandas(_settle, _EDGE))
-    edges = settled.where("key IS NOT NULL").groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("runs"))
-    of_edges = (
-        texts.join(edges, F.col("doc_id") == F.col("d"), "left")  # as below, so that the texts are shuffled once
-        .select("doc_id", F.when(F.col("runs").isNotNull(), F.col("text")).alias("text"), "runs")
-        .mapInPandas(_with_text, "key long, doc long, start long, n int, text binary")
-        .repartition("key")
-        .mapInPandas(_sort_edges, "doc long, start long, stop long")
-    )
-    covered = settled.where("key IS NULL").select("doc", "start", (F.col("start") + F.col("n")).alias("stop"))
-    spans = covered.unionByName(of_edges).groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return texts.join(spans, F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", "spans")
+    counted = runs.withColumn("m", F.count("*").over(Window.partitionBy("key")))
+    settled = cut_lineage(counted.where("n < 0 OR m > 1 OR twin").select("key", "doc", "part", "start", "n", (F.col("m") > HOT_RUNS).alias("hot")))
+
+    def with_text(which: str) -> DataFrame:
+        listed = settled.where(which).groupBy(F.col("doc").alias("d"), F.col("part").alias("p")).agg(F.collect_list(F.struct("key", "start", "n")).alias("runs"))
+        joined = texts.join(listed, (F.col("doc_id") == F.col("d")) & (F.col("part") == F.col("p")), "left")  # as below, so that the texts are shuffled once
+        return joined.select("doc_id", "part", F.when(F.col("runs").isNotNull(), F.col("text")).alias("text"), "runs").mapInPandas(_with_text, _TEXT_RUN)
+
+    spans = [settled.where("n < 0").select("doc", "part", "start", (F.col("start") - F.col("n")).alias("stop"))]
+    sets = [with_text("n > 0 AND NOT hot")]
+    if not settled.where("n > 0 AND hot").isEmpty():
+        sets.append(_deal_hot(cut_lineage(with_text("n > 0 AND hot")), spans))
+    spans += [x.repartition("key").sortWithinPartitions("key", "doc", "part", "start").mapInPandas(_sort_runs, _SPAN) for x in sets]
+    listed = reduce(DataFrame.unionByName, spans).groupBy(F.col("doc").alias("d"), F.col("part").alias("p")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return texts.join(listed, (F.col("doc_id") == F.col("d")) & (F.col("part") == F.col("p")), "left").select("doc_id", "text", "spans")
+
+
+def _cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """``data`` without ``spans``, and how many they are once merged."""
+    kept, at, n = [], 0, 0
+    for a, b in sorted(spans):
+        if not n or a > at:
+            n += 1
+            kept.append(data[at:a])
+        at = max(at, b)
+    return b"".join([*kept, data[at:]]), n
 
 
 def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
@@ -292,16 +356,13 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         for pdf in batches:
             rows = []
             for doc, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
-                data, kept, at, n_spans = (text or "").encode(), [], 0, 0
-                for a, b in sorted((s["start"], min(s["stop"], len(data))) for s in (spans if spans is not None else [])):
-                    if a > at or not n_spans:
-                        n_spans += 1
-                        kept.append(data[at:a])
-                    at = max(at, b)
-                kept = b"".join([*kept, data[at:]])
+                data = (text or "").encode()
+                kept, n_spans = _cut(data, [] if spans is None else [(s["start"], s["stop"]) for s in spans])
                 row = (doc, len(data), len(data) - len(kept), n_spans, hashlib.sha256(kept).hexdigest())
                 rows.append((*row, kept) if with_kept else row)
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept])
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    return repeated_spans(docs).mapInPandas(run, schema)
+    schema = "id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
+    # an id passes through Python as a string: beside a null, pandas would make it a float
+    found = repeated_spans(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text", "spans").mapInPandas(run, schema)
+    return found.select(F.col("id").cast("long").alias("doc_id"), *found.columns[1:])

@@ -15,6 +15,8 @@ from quillspark.llm import automata, decontamination, fm_index, grouping_sort, l
 from quillspark.llm.queries import vocabulary
 
 ODD = [(1, None), (2, ""), (None, "a null id, with some words"), (3, "twice"), (3, "twice"), (4, " \n\t "), (5, "é" * 5000), (6, "日本 ² Ⅷ <|endoftext|>  x\r\n\ty ")]
+#: A null doc_id beside ids that a float can't hold.
+BIG = 2**53 + 1
 EXTRA = "doc_id long, text string, h string, start int, lang string, key string, doc string, fp string, spans string, rn int"
 
 
@@ -42,10 +44,24 @@ def test_suffix_array():
         assert grouping_sort.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+def test_suffix_arrays_side_by_side(monkeypatch):
+    monkeypatch.setattr(grouping_sort, "SHORT", 100)
+    monkeypatch.setattr(grouping_sort, "BATCH", 700)
+    rng = random.Random(4)
+    texts = [b"a" * 90, b"ab" * 40, b"", b"mississippi\0issi\0", *(bytes(rng.randrange(rng.randint(1, 4)) for _ in range(rng.randint(0, 140))) for _ in range(300))]
+    data = np.frombuffer(b"".join(b"\0" + t for t in texts), np.uint8)
+    length = np.array([len(t) for t in texts])
+    first = np.cumsum(length + 1) - length
+    order = grouping_sort.suffix_arrays(data, first, length)
+    for t, a in zip(texts, first.tolist(), strict=True):
+        assert (order[a : a + len(t)] - a).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+
+
 def removed(rows):
+    """(doc_id, n_bytes, n_removed, n_spans, sha256) of each row; rows of one doc_id and different texts in the order that the operator has."""
     seen, out = set(), {}
-    for i, t in sorted({r for r in rows if r[0] is not None}, key=lambda r: r[0]):
-        b = (t or "").encode()
+    for i, t in sorted({(i, t or "") for i, t in rows if i is not None}, key=lambda r: (r[0], text_order(r[1]) if sum(x[0] == r[0] for x in {(a, b or "") for a, b in rows}) > 1 else 0)):
+        b = t.encode()
         gone = bytearray(len(b))
         for a in range(len(b) - 99):
             w = b[a : a + 100]
@@ -53,17 +69,42 @@ def removed(rows):
                 gone[a : a + 100] = b"\1" * 100
             seen.add(w)
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        out[i] = (len(b), sum(gone), sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1])), hashlib.sha256(kept).hexdigest())
-    return out
+        out[i, t] = (i, len(b), sum(gone), sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1])), hashlib.sha256(kept).hexdigest())
+    whole = lambda t: (None, len(t.encode()), 0, 0, hashlib.sha256(t.encode()).hexdigest())
+    return collections.Counter(whole(t or "") if i is None else out[i, t or ""] for i, t in rows)
+
 
+def text_order(t):
+    """XXH64 with Spark's seed, as a signed number."""
+    return int(np.array([xxhash.xxh64_intdigest(t.encode(), 42)], "u8").view("i8")[0])
 
-@pytest.mark.parametrize("hot", [2000, 3])
+
+@pytest.mark.parametrize("hot", [2000, 40, 3])
 def test_suffix_dedup(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
     rows = passages(3) + ODD
     got = suffix_dedup.remove_repeats(frame(spark, rows).repartition(5)).collect()
-    assert len(got) == len(rows) and {r.doc_id: tuple(r)[1:] for r in got if r.doc_id is not None} == removed(rows)
-    assert [r.n_removed for r in got if r.doc_id is None] == [0]
+    assert collections.Counter(map(tuple, got)) == removed(rows)
+
+
+def test_suffix_dedup_of_repeated_ids_with_different_texts(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    shared = word(180)
+    rows = [(1, word(500)), (1, shared + word(400)), (1, word(300) + shared), (0, word(50) + shared), (2, shared), (2, shared), (BIG, shared), (None, shared), (BIG + 1, word(500))]
+    got = suffix_dedup.remove_repeats(frame(spark, rows).repartition(3)).collect()
+    assert collections.Counter(map(tuple, got)) == removed(rows)
+
+
+@pytest.mark.parametrize("hot", [10**9, 200, 20])
+def test_suffix_dedup_splits_a_hot_minimiser(spark, monkeypatch, hot):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    stem, sides = word(40), [word(60) for _ in range(4)]
+    rows = [(i, rng.choice(sides)[rng.randint(0, 20) :] + stem + rng.choice(sides)[: rng.randint(30, 60)] + word(rng.randint(0, 9))) for i in range(300)]
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 2000)
+    assert collections.Counter(map(tuple, suffix_dedup.remove_repeats(frame(spark, rows).repartition(4)).collect())) == removed(rows)
 
 
 # --- 2 -----------------------------------------------------------------------------------------------------------------
