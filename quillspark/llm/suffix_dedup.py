@@ -5,10 +5,11 @@ cluster, windows of that length are dealt out by their minimiser (least hash of
 depends on their content alone: equal windows meet. Consecutive windows of one minimiser travel as one run. Hashes only
 deal out; what repeats is read off suffix arrays (``grouping_sort``): neighbours that agree in LENGTH bytes.
 
-1. Map: runs of each document, without text. Runs of one chunk that may be equal are sorted there, and those that repeat
-   throughout go no further, so a passage that a third of all documents share leaves each chunk once.
+1. Map: runs of each document, without text. Equal runs of one chunk (byte for byte) are combined: the first goes on, the
+   others are covered, so a passage that a third of all documents share leaves each chunk once.
 2. A run that is alone with its minimiser and holds it once can't repeat and is done. All others get their text.
-3. The runs of each minimiser are sorted. Tasks read them in the order of the minimisers, a few MB at a time.
+3. The runs of each minimiser are sorted, equal ones as one with all its places. Tasks read them in the order of the
+   minimisers, a few MB at a time.
 4. Covered spans are merged for each document.
 
 A minimiser with more than ``HOT_RUNS`` runs is first dealt out again, in rounds: a salt splits its runs into parts, each
@@ -104,10 +105,29 @@ def _ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _repeats(group: np.ndarray, n: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(run, window) of each window of the runs that equals an earlier one of its group, by the groups' suffix arrays.
+    """(run, window) of each window of the runs that equals an earlier one of its group, in order.
 
-    Runs come by group, and in it in the order that says what is earlier.
+    Runs come by group, and in it in the order that says what is earlier. Equal runs enter the group's suffix array once:
+    the first stands for all, and all windows of the others repeat.
     """
+    seen: set[tuple[int, bytes]] = set()
+    copy = np.zeros(len(texts), bool)
+    for k, entry in enumerate(zip(group.tolist(), texts, strict=True)):
+        if entry in seen:
+            copy[k] = True
+        else:
+            seen.add(entry)
+    own = np.flatnonzero(~copy)
+    run, window = _sorted_repeats(group[own], n[own], [texts[k] for k in own.tolist()])
+    count = n[copy].astype(np.int64)
+    run = np.concatenate([own[run], np.repeat(np.flatnonzero(copy), count)])
+    window = np.concatenate([window, _ragged(np.zeros(len(count), np.int64), count)])
+    order = np.argsort(run, kind="stable")
+    return run[order], window[order]
+
+
+def _sorted_repeats(group: np.ndarray, n: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``_repeats`` of different runs, read off the suffix array of each group."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     new = np.concatenate([[True], group[1:] != group[:-1]])
     at = np.cumsum(size + 1 + new) - size - 1  # a guard before each group, a separator after each run
@@ -146,8 +166,7 @@ def _spans(run: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _runs(docs: np.ndarray, parts: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> pd.DataFrame:
-    """Runs of a chunk of pieces of documents, but those that repeat throughout in the chunk; what is covered there comes as
-    spans (n < 0: minus their length)."""
+    """Runs of a chunk of pieces of documents, equal ones once; the copies leave as spans (n < 0: minus their length)."""
     lengths = np.array([len(p) for p in pieces], np.int64)
     data = b"".join(pieces)
     least, content, grams = window_hashes(np.frombuffer(data, np.uint8))
@@ -171,19 +190,26 @@ def _runs(docs: np.ndarray, parts: np.ndarray, starts: np.ndarray, pieces: list[
     alike = np.concatenate([[False], (c[1:] == c[:-1]) & (key[1:] == key[:-1]), [False]])
     some = np.flatnonzero(alike[1:] | alike[:-1])
     kept = np.ones(len(key), bool)
-    run, low, high = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(some):
-        texts = [data[a : a + k + LENGTH - 1] for a, k in zip(first[some].tolist(), n[some].tolist(), strict=True)]
-        run, window = _repeats(np.cumsum(~alike[:-1][some]), n[some], texts)
-        kept[some[np.bincount(run, minlength=len(some)) == n[some]]] = False
-        run, low, high = _spans(some[run], window)
+    stem = b""  # the first of the runs that are alike
+    for k, a, count, again in zip(some.tolist(), first[some].tolist(), n[some].tolist(), alike[:-1][some].tolist(), strict=True):
+        text = data[a : a + count + LENGTH - 1]
+        if not again:
+            stem = text
+        elif text == stem:
+            kept[k] = False
+    run = np.flatnonzero(~kept)
+    run = run[np.lexsort([start[run], part[run], doc[run]])]  # runs of a document end in the order in which they begin
+    stop = start[run] + n[run] + LENGTH - 1
+    new = np.concatenate([[True], (doc[run][1:] != doc[run][:-1]) | (part[run][1:] != part[run][:-1]) | (start[run][1:] > stop[:-1])])[: len(run)]
+    stop = stop[np.concatenate([new[1:], [True]])[: len(run)]]
+    run = run[new]
     return pd.DataFrame(
         {
-            "key": np.concatenate([key[kept], _mixed(key[run] + low.astype(np.uint64) + run.astype(np.uint64))]).view("i8"),
+            "key": np.concatenate([key[kept], _mixed(key[run] + run.astype(np.uint64))]).view("i8"),
             "doc": np.concatenate([doc[kept], doc[run]]),
             "part": np.concatenate([part[kept], part[run]]),
-            "start": np.concatenate([start[kept], start[run] + low]),
-            "n": np.concatenate([n[kept], low - high]).astype("i4"),
+            "start": np.concatenate([start[kept], start[run]]),
+            "n": np.concatenate([n[kept], start[run] - stop]).astype("i4"),
             "twin": np.concatenate([twin[kept], np.zeros(len(run), bool)]),
         }
     )
