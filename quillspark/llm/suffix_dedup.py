@@ -37,7 +37,7 @@ from .common import cut_lineage, small, with_text_id
 from .grouping_sort import suffix_arrays
 
 LENGTH, GRAM = 100, 32
-LONGEST_RUN, CHUNK_BYTES, HOT_RUNS = 100, 1_500_000, 2000
+LONGEST_RUN, CHUNK_BYTES, HOT_RUNS = 100, 1_500_000, 20_000
 #: Text that a task sorts at a time; a minimiser's runs are not parted.
 SORTED_BYTES = 3_000_000
 _rng = np.random.default_rng(20240229)
@@ -235,14 +235,30 @@ def _find_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _with_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The runs of each document with their text."""
+    """The runs of each document with their text; of equal ones in a batch the first, and the others as spans (n < 0)."""
     for pdf in batches:
-        rows = []
+        found: dict[tuple[int, bytes], tuple[int, int, int, int]] = {}
+        doc_of, part_of, start_of, length_of = [], [], [], []
         for doc, part, text, runs in zip(pdf["doc_id"], pdf["part"], pdf["text"], pdf["runs"], strict=True):
-            if runs is not None:
-                data = (text or "").encode()
-                rows += [(r["key"], doc, part, r["start"], r["n"], -1, 0, LENGTH - GRAM + 1, data[r["start"] : r["start"] + r["n"] + LENGTH - 1]) for r in runs]
-        yield pd.DataFrame(rows, columns=["key", "doc", "part", "start", "n", "at", "low", "high", "text"])
+            if runs is None:
+                continue
+            data = (text or "").encode()
+            for r in runs:
+                start, n = r["start"], r["n"]
+                place = (doc, part, start, n)
+                entry = (r["key"], data[start : start + n + LENGTH - 1])
+                before = found.setdefault(entry, place)
+                if before is not place:
+                    if place < before:
+                        found[entry], place = place, before
+                    doc_of.append(place[0])
+                    part_of.append(place[1])
+                    start_of.append(place[2])
+                    length_of.append(-(n + LENGTH - 1))
+        rows = [(key, *place, text) for (key, text), place in found.items()]
+        yield pd.DataFrame(rows, columns=["key", "doc", "part", "start", "n", "text"]).assign(at=-1, low=0, high=LENGTH - GRAM + 1)
+        covered = pd.DataFrame({"doc": doc_of, "part": part_of, "start": start_of, "n": length_of}, dtype=np.int64)
+        yield covered.assign(key=_mixed(covered["start"].to_numpy(np.int64).view(np.uint64) + covered["doc"].to_numpy(np.int64).view(np.uint64)).view(np.int64), at=-1, low=0, high=0, text=b"")
 
 
 def _by_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -252,7 +268,7 @@ def _by_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.D
         if not len(pdf):
             continue
         held.append(pdf)
-        size += int(pdf["text"].map(len).sum())
+        size += int(pdf["text"].map(len).sum()) + 8 * len(pdf)
         if size >= SORTED_BYTES:
             both = pd.concat(held, ignore_index=True)
             differs = np.zeros(len(both) - 1, bool)
@@ -278,6 +294,11 @@ def _numbers(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
 
 def _sort_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in _by_group(batches, ["key"]):
+        covered = pdf[pdf["n"] < 0]
+        yield covered[["doc", "part", "start"]].assign(stop=covered["start"] - covered["n"])
+        pdf = pdf[pdf["n"] > 0]
+        if not len(pdf):
+            continue
         run, low, high = _spans(*_repeats(_numbers(pdf, ["key"]), pdf["n"].to_numpy(), pdf["text"].tolist()))
         start = pdf["start"].to_numpy()[run]
         yield pd.DataFrame({"doc": pdf["doc"].to_numpy()[run], "part": pdf["part"].to_numpy()[run], "start": start + low, "stop": start + high})
@@ -358,7 +379,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spans = [settled.where("n < 0").select("doc", "part", "start", (F.col("start") - F.col("n")).alias("stop"))]
     sets = [with_text("n > 0 AND NOT hot")]
     if not settled.where("n > 0 AND hot").isEmpty():
-        sets.append(_deal_hot(cut_lineage(with_text("n > 0 AND hot")), spans))
+        hot = cut_lineage(with_text("n > 0 AND hot"))
+        spans.append(hot.where("n < 0").select("doc", "part", "start", (F.col("start") - F.col("n")).alias("stop")))
+        sets.append(_deal_hot(hot.where("n > 0"), spans))
     spans += [x.repartition("key").sortWithinPartitions("key", "doc", "part", "start").mapInPandas(_sort_runs, _SPAN) for x in sets]
     listed = reduce(DataFrame.unionByName, spans).groupBy(F.col("doc").alias("d"), F.col("part").alias("p")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return texts.join(listed, (F.col("doc_id") == F.col("d")) & (F.col("part") == F.col("p")), "left").select("doc_id", "text", "spans")
