@@ -118,6 +118,7 @@ class _Nfa:
     def __init__(self):
         self.empty: list[list[int]] = []
         self.moves: list[tuple[frozenset[int], int] | None] = []
+        self.owner: list[int] = [0]  # the pattern of each state
 
     def state(self) -> int:
         self.empty.append([])
@@ -144,6 +145,9 @@ class _Nfa:
         at = reduce(lambda at, _: self.add(part, at), range(low), start)
         if high is None:
             loop = self.state()
+            if not low:  # the first round apart from the others, so that a start is told from what goes on
+                self.empty[at].append(end)
+                at = self.add(part, at)
             self.empty[at].append(loop)
             self.empty[self.add(part, loop)].append(loop)
             self.empty[loop].append(end)
@@ -155,29 +159,23 @@ class _Nfa:
         return end
 
 
-def _reverse(tree):
-    if tree[0] == "cat":
-        return ("cat", [_reverse(t) for t in reversed(tree[1])])
-    if tree[0] == "alt":
-        return ("alt", [_reverse(t) for t in tree[1]])
-    return ("rep", _reverse(tree[1]), *tree[2:]) if tree[0] == "rep" else tree
-
-
 class Automaton:
     """``step[state * 256 + byte]`` is the next state, ``accept[state]`` the bit mask of patterns that end there.
 
-    State 0 is the start. Without ``search`` a dead state exists, and ``dead`` is its number.
+    ``open[state]`` is the bit mask of patterns of which a match may have begun: without a pattern's bit, no match of it
+    that began before goes on. State 0 is the start. Without ``search`` a dead state exists, and ``dead`` is its number.
     """
 
-    def __init__(self, patterns: list[str], search: bool = False, reverse: bool = False):
+    def __init__(self, patterns: list[str], search: bool = False):
         nfa = _Nfa()
         start = nfa.state()
         ends = []
         for p in patterns:
-            tree = _Parser(p).parse()
-            ends.append(nfa.add(_reverse(tree) if reverse else tree, start))
-        step, accept = self._subsets(nfa, start, ends, search)
-        self.step, self.accept = self._minimal(step, accept)
+            before = len(nfa.moves)
+            ends.append(nfa.add(_Parser(p).parse(), start))
+            nfa.owner += [len(ends) - 1] * (len(nfa.moves) - before)
+        step, accept, begun = self._subsets(nfa, start, ends, search)
+        self.step, self.accept, self.open = self._minimal(step, accept, begun)
         flat = self.step
         loops = [s for s in range(len(flat)) if not self.accept[s] and (flat[s] == s).all()]
         self.dead = loops[0] if loops else -1
@@ -214,15 +212,17 @@ class Automaton:
                     todo.append(to)
                 row.append(number[to])
             rows.append(row)
-        accept = np.zeros(len(number), np.int64)
+        accept, begun = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         for states, n in number.items():
             accept[n] = sum(1 << end_of[s] for s in states if s in end_of)
-        return np.array(rows)[:, of_byte], accept
+            begun[n] = sum(1 << k for k in {nfa.owner[s] for s in states - first})
+        return np.array(rows)[:, of_byte], accept, begun
 
     @staticmethod
-    def _minimal(step: np.ndarray, accept: np.ndarray):
+    def _minimal(step: np.ndarray, accept: np.ndarray, begun: np.ndarray):
         """Partition refinement until no block splits; the start keeps number 0."""
-        _, block = np.unique(accept, return_inverse=True)
+        _, block = np.unique(np.column_stack([accept, begun]), axis=0, return_inverse=True)
+        block = block.reshape(-1)
         while True:
             _, columns = np.unique(step, axis=1, return_index=True)
             _, finer = np.unique(np.column_stack([block, block[step[:, columns]]]), axis=0, return_inverse=True)
@@ -235,4 +235,4 @@ class Automaton:
             order[b] = n
         block = order[block]
         _, members = np.unique(block, return_index=True)
-        return block[step[members]], accept[members]
+        return block[step[members]], accept[members], begun[members]

@@ -27,7 +27,7 @@ from .tokenizing import ChunkCache, load, word_encoder
 SEQUENCE, CLOSING_ID = 4096, 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 SHARD_TOKENS = 4_000_000
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _caches: dict[str, ChunkCache] = {}
 
@@ -114,13 +114,12 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE, shard_tokens: int = S
                     out.append((*row, np.frombuffer(part, "<u4").astype("i4")) if with_ids else row)
                     offset += length
                 sequence += 1
-            pdf = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids])
-            return pdf.astype({"doc_id": "Int64"})
+            return pd.DataFrame(out, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids])
 
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 ids = b"".join(encoder.values_of((text or "").encode().split())) + closing
-                kept[number] = (None if pd.isna(doc_id) else int(doc_id), ids)
+                kept[number] = (doc_id, ids)
                 pieces.append((number, 0, len(ids) // 4))
                 waiting += len(ids) // 4
                 number += 1
@@ -132,4 +131,6 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE, shard_tokens: int = S
         sequences, pieces = balance(pieces, size)
         yield rows(sequences + powers(pieces))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA + ", ids array<int>" * with_ids)
+    # an id passes through Python as a string: beside a null, pandas would make it a float
+    packed = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(run, SCHEMA + ", ids array<int>" * with_ids)
+    return packed.select(F.col("id").cast("long").alias("doc_id"), *packed.columns[1:])

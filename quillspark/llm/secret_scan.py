@@ -1,9 +1,11 @@
 """Secret scan: all rules in one combined deterministic automaton, one byte pass over each text.
 
-The rules' regexes become one minimal automaton (``automata``). A pass advances many texts side by side, one byte
-of each at a time, by one gather from the transition array; where a state accepts a rule, the text is known to hold it.
-Only there, the rule's own automata give the spans as leftmost, longest, non-overlapping matches: backwards from the
-first accepting byte to the start, forwards from the start to the end. The job is map-only.
+The rules' regexes become one minimal automaton (``automata``). A pass advances many pieces of texts side by side, one byte
+of each at a time, by one gather from the transition array, and keeps the state after each byte. The states say for each
+rule where a match may have begun and where one ends: a stretch of bytes in which a rule is open and that holds an end
+has its spans, all others have none. In a stretch, an exact check cuts the leftmost, longest, non-overlapping matches.
+Long texts are cut into pieces of ``PIECE`` bytes that run at the same time; a piece that was begun in another state than
+the one before it ended in is run again from there until both runs agree. The job is map-only.
 
 Defined results: a null text counts as empty (no spans); rows with a null doc_id and repeated rows are scanned as they
 come; an empty table gives no rows; other columns are not read. Spans are code points, end exclusive.
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .automata import Automaton
 
-BATCH_BYTES = 24_000_000
+#: Bytes of a pass, and of a piece of a text.
+BATCH_BYTES, PIECE = 8_000_000, 4096
 
 
 @dataclass(frozen=True)
@@ -52,31 +55,50 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
         self.all = Automaton([r.pattern for r in rules], search=True)
-        self.seek = [Automaton([r.pattern], search=True) for r in rules]
-        self.back = [Automaton([r.pattern], reverse=True) for r in rules]
         self.match = [Automaton([r.pattern]) for r in rules]
         self.heads = [Automaton([r.head]) if r.head else None for r in rules]
 
-    def found(self, texts: list[bytes]) -> np.ndarray:
-        """For each text, the bit mask of the rules that match somewhere in it: one pass, texts side by side."""
-        lengths = np.array([len(t) for t in texts], np.int64)
-        order = np.argsort(-lengths, kind="stable")
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        starts = (np.cumsum(lengths) - lengths)[order]
-        lengths = lengths[order]
-        live = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0] if len(lengths) else 0), side="right")
-        state = np.zeros(len(lengths), np.int32)
-        hits = np.zeros(len(lengths), np.int64)
-        step, accept = self.all.step, self.all.accept
-        some = accept.any()
-        for t, n in enumerate(live.tolist()):
-            s = step[(state[:n] << 8) | data[starts[:n] + t]]
-            state[:n] = s
-            if some:
-                hits[:n] |= accept[s]
-        out = np.zeros(len(lengths), np.int64)
-        out[order] = hits
-        return out
+    def states(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The state after each byte of the texts that begin at ``starts`` and lie one behind the other: one pass."""
+        ends = np.append(starts[1:], len(data))
+        pieces = np.maximum(-(-(ends - starts) // PIECE), 1)
+        of = np.repeat(np.arange(len(starts)), pieces)
+        number = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = starts[of] + number * PIECE
+        length = np.minimum(ends[of] - first, PIECE)
+        out = np.zeros(len(data), np.uint16 if self.all.size <= 1 << 16 else np.int32)
+        order = np.argsort(-length, kind="stable")
+        self._advance(data, out, first[order], length[order], np.zeros(len(of), np.int64), False)
+        follows = np.flatnonzero(number > 0)
+        known = np.zeros(len(of), np.int64)  # the state in which each piece was begun
+        while True:
+            begun = out[first[follows] - 1].astype(np.int64)
+            wrong = np.flatnonzero(begun != known[follows])
+            if not len(wrong):
+                return out
+            again = follows[wrong]
+            known[again] = begun[wrong]
+            self._advance(data, out, first[again], length[again], begun[wrong], True)
+
+    def _advance(self, data: np.ndarray, out: np.ndarray, first: np.ndarray, length: np.ndarray, state: np.ndarray, until_same: bool) -> None:
+        """Run pieces side by side, longest first, from ``state``; ``until_same``: each until ``out`` has its state already."""
+        step = self.all.step
+        if not until_same:
+            live = len(length) - np.searchsorted(length[::-1], np.arange(length[0] if len(length) else 0), side="right")
+            for t, n in enumerate(live.tolist()):
+                at = first[:n] + t
+                s = step[(state[:n] << 8) | data[at]]
+                state[:n] = s
+                out[at] = s
+            return
+        t = 0
+        while len(first):
+            at = first + t
+            state = step[(state << 8) | data[at]].astype(np.int64)
+            t += 1
+            going = (out[at] != state) & (length > t)
+            out[at] = state
+            first, length, state = first[going], length[going], state[going]
 
     @staticmethod
     def _longest(machine: Automaton, data: bytes, at: int) -> int:
@@ -90,48 +112,51 @@ class Scanner:
                 end = i + 1
         return end
 
-    def spans(self, k: int, data: bytes) -> list[tuple[int, int]]:
-        """Leftmost, longest, non-overlapping byte spans of rule ``k``."""
-        rule, seek, back, out, at = self.rules[k], self.seek[k], self.back[k], [], 0
+    def _cut(self, k: int, data: bytes) -> list[tuple[int, int]]:
+        """Leftmost, longest, non-overlapping byte spans of rule ``k`` in a stretch."""
+        rule, head, out, at = self.rules[k], self.heads[k], [], 0
         while at < len(data):
-            state, i = 0, at
-            while i < len(data):
-                state = seek.step[(state << 8) | data[i]]
-                i += 1
-                if seek.accept[state]:
-                    break
-            else:
-                break
-            state, start, j = 0, i, i - 1
-            while j >= at:
-                state = back.step[(state << 8) | data[j]]
-                if state == back.dead:
-                    break
-                if back.accept[state]:
-                    start = j
-                j -= 1
-            end = self._longest(self.match[k], data, start)
-            head = self.heads[k]
-            if end - (self._longest(head, data, start) if head else start) >= rule.shortest:
-                out.append((start, end))
+            end = self._longest(self.match[k], data, at)
+            if end < 0:
+                at += 1
+                continue
+            if end - (self._longest(head, data, at) if head else at) >= rule.shortest:
+                out.append((at, end))
             at = end
         return out
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """For each text its (start, end, rule) in code points, by start, then rule."""
         raw = [t.encode() for t in texts]
-        out: list[list[tuple[int, int, int]]] = []
-        for text, data, mask in zip(texts, raw, self.found(raw).tolist(), strict=True):
-            spans = []
-            if mask:
-                for k in range(len(self.rules)):
-                    if mask >> k & 1:
-                        spans += [(a, b, k) for a, b in self.spans(k, data)]
-                if len(data) != len(text):
-                    first = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
-                    spans = [(int(first[a]), int(first[b]), k) for a, b, k in spans]
-                spans.sort(key=lambda s: (s[0], s[2]))
-            out.append(spans)
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        filled = np.flatnonzero(size)
+        if not len(filled):
+            return out
+        joined = b"".join(raw)
+        starts = (np.cumsum(size) - size)[filled]
+        state = self.states(np.frombuffer(joined, np.uint8), starts)
+        begins = np.zeros(len(joined), bool)
+        begins[starts] = True
+        for k in range(len(self.rules)):
+            hits = np.flatnonzero((self.all.accept >> k & 1).astype(bool)[state])
+            if not len(hits):
+                continue
+            # a stretch ends where the rule is not open, and at the end of its text
+            opened = (self.all.open >> k & 1).astype(bool)[state]
+            edge = np.flatnonzero(~opened | begins)  # in a text's first byte nothing goes on
+            low = edge[np.searchsorted(edge, hits, side="right") - 1]
+            low = np.where(opened[low], low, low + 1)
+            later = np.append(edge, len(joined))[np.searchsorted(edge, hits, side="right")]
+            for a, b in np.unique(np.column_stack([low, later]), axis=0).tolist():
+                t = int(filled[np.searchsorted(starts, a, side="right") - 1])
+                base = int(starts[np.searchsorted(starts, a, side="right") - 1])
+                out[t] += [(a - base + x, a - base + y, k) for x, y in self._cut(k, joined[a:b])]
+        for t, spans in enumerate(out):
+            if spans and len(raw[t]) != len(texts[t]):
+                first = np.concatenate([[0], np.cumsum((np.frombuffer(raw[t], np.uint8) & 0xC0) != 0x80)])
+                spans[:] = [(int(first[a]), int(first[b]), k) for a, b, k in spans]
+            spans.sort(key=lambda s: (s[0], s[2]))
         return out
 
 
@@ -144,7 +169,7 @@ def scanner_for(rules: tuple[Rule, ...] = RULES) -> Scanner:
     return _scanners[rules]
 
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+SCHEMA = "id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -160,7 +185,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
             rows, first = [], 0
-            while first < len(texts):  # long texts: several smaller passes
+            while first < len(texts):  # several passes of bounded size
                 size, last = 0, first
                 while last < len(texts) and (size == 0 or size + len(texts[last]) <= BATCH_BYTES):
                     size += len(texts[last])
@@ -172,7 +197,9 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                     rows.append((*counts, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(said)))
                 first = last
             out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            out.insert(0, "id", pdf["doc_id"].to_numpy())
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
+    # an id passes through Python as a string: beside a null, pandas would make it a float
+    scanned = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
+    return scanned.select(F.col("id").cast("long").alias("doc_id"), *scanned.columns[1:])

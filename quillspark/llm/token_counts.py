@@ -1,8 +1,9 @@
-"""Token counts by a map-side two-tier lookup: a broadcast table of frequent chunks, then worker caches.
+"""Token counts by a map-side two-tier lookup: a broadcast table of frequent pre-tokens, then worker caches.
 
-A bounded sample of texts yields the frequent chunks and their token counts (at most ``TABLE_ENTRIES``, so the
-broadcast is bounded whatever the input); every other chunk is encoded by the library once for each worker
-cache. No chunk is shuffled. The sample only decides what is looked up faster: counts are exact for every text.
+A bounded sample of texts yields the frequent pre-tokens and their lengths in ids (at most ``TABLE_ENTRIES``, in a compact
+hash table, so the broadcast is bounded whatever the input). A worker splits each chunk of text that it hasn't counted
+yet into pre-tokens and looks them up; a miss is encoded by the library once for the worker's cache. No pre-token is
+shuffled. The sample only decides what is looked up faster: counts are exact for every text.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); rows with a null doc_id and repeated rows are
 counted as they come; other columns are not read. A special string inside a text is one token, the library's default.
@@ -17,10 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenizing import ChunkCache, byte_level_chunks, byte_level_counter, load
+from .tokenizing import ChunkCache, LengthTable, byte_level_chunks, byte_level_counter, load, pre_tokens
 
-SAMPLE_DOCS, TABLE_ENTRIES, LIMIT_TOKENS = 400, 32_768, 1024
-SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+#: The sample: the first texts that a scan finds (of the first partitions only), and the characters read of each.
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
+TABLE_ENTRIES, TABLE_CHARS, LIMIT_TOKENS = 32_768, 32, 1024
+SCHEMA = "id string, n_bytes long, n_tokens long, over_limit boolean"
 
 _caches: dict[str, ChunkCache] = {}
 
@@ -29,26 +32,24 @@ def _special(tokenizer) -> list[str]:
     return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
 
-def frequent_chunks(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, entries: int = TABLE_ENTRIES) -> dict[str, int]:
-    """Counts of the most frequent chunks of at most ``sample_docs`` texts, at most ``entries`` of them."""
-    texts = [r[0] for r in docs.where(F.col("text").isNotNull()).select("text").limit(sample_docs).toLocalIterator()]
-    tokenizer = load(path)
-    special = _special(tokenizer)
-    seen = Counter(c for t in texts if not any(s in t for s in special) for c in byte_level_chunks(t))
-    frequent = [c for c, n in seen.most_common(entries) if n > 1 and len(c) <= 32]
-    return dict(zip(frequent, map(byte_level_counter(tokenizer), frequent), strict=True))
+def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, entries: int = TABLE_ENTRIES) -> LengthTable:
+    """Lengths of the most frequent pre-tokens of at most ``sample_docs`` texts, at most ``entries`` of them."""
+    rows = docs.where(F.col("text").isNotNull()).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).take(sample_docs)
+    seen = Counter(t for r in rows for c in byte_level_chunks(r.text) for t in pre_tokens(c))
+    frequent = [t for t, n in seen.most_common(entries) if n > 1 and len(t) <= TABLE_CHARS]
+    return LengthTable(dict(zip(frequent, map(byte_level_counter(load(path)), frequent), strict=True)))
 
 
 def count_tokens(docs: DataFrame, path: str, limit_tokens: int = LIMIT_TOKENS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs``."""
-    table = docs.sparkSession.sparkContext.broadcast(frequent_chunks(docs, path, sample_docs))
+    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, sample_docs))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = load(path)
         special = _special(tokenizer)
         cache = _caches.get(path)
         if cache is None:
-            cache = _caches[path] = ChunkCache(byte_level_counter(tokenizer), table.value)
+            cache = _caches[path] = ChunkCache(byte_level_counter(tokenizer, table.value))
 
         def tokens(text: str) -> int:
             if any(s in text for s in special):
@@ -58,6 +59,8 @@ def count_tokens(docs: DataFrame, path: str, limit_tokens: int = LIMIT_TOKENS, s
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
             n = pd.Series([tokens(t) for t in texts], dtype="int64", index=pdf.index)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": n > limit_tokens})
+            yield pd.DataFrame({"id": pdf["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": n > limit_tokens})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(count, SCHEMA)
+    # an id passes through Python as a string: beside a null, pandas would make it a float
+    counted = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(count, SCHEMA)
+    return counted.select(F.col("id").cast("long").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")

@@ -2,7 +2,7 @@
 
 The libraries spend microseconds on each word. No pre-token of either vocabulary crosses a chunk as cut here,
 so a chunk alone gives the ids it gives in its text, and a cache of chunks gives whole documents.
-Caches are bounded; a full one starts again.
+Caches are bounded in entries and in the length of what they hold; a full one starts again.
 """
 
 from __future__ import annotations
@@ -11,7 +11,11 @@ import os
 import re
 from array import array
 
-CACHE_ENTRIES = 1_500_000
+import numpy as np
+import xxhash
+
+#: A cache holds that many chunks at most, none of more than ``CACHED_CHARS`` characters (bytes): some 200 MB.
+CACHE_ENTRIES, CACHED_CHARS = 1_000_000, 64
 #: Unicode White_Space, as the vocabularies' patterns have it (Python's \s would add U+001C to U+001F).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _COARSE = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -35,24 +39,61 @@ def load(path: str):
 
 
 class ChunkCache(dict):
-    """chunk -> value by ``encode(chunk)``; fills itself, and starts again from ``first`` when full."""
+    """chunk -> value by ``encode(chunk)``; fills itself, and starts again when full."""
 
-    def __init__(self, encode, first: dict | None = None):
-        super().__init__(first or {})
-        self.encode, self.first = encode, dict(first or {})
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
 
     def __missing__(self, chunk):
-        value = self[chunk] = self.encode(chunk)
+        value = self.encode(chunk)
+        if len(chunk) <= CACHED_CHARS:
+            self[chunk] = value
         return value
 
+    def value(self, chunk):
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        return self[chunk]
+
     def values_of(self, chunks):
         """The values of ``chunks``, in order."""
         if len(self) > CACHE_ENTRIES:
             self.clear()
-            self.update(self.first)
         return map(self.__getitem__, chunks)
 
 
+class LengthTable:
+    """pre-token -> number of ids, as an open-addressing hash table in four arrays: compact to broadcast, exact to read."""
+
+    def __init__(self, lengths: dict[str, int]):
+        tokens = [t.encode() for t in lengths]
+        size = 1 << max(4, (2 * len(tokens)).bit_length())
+        self.mask = size - 1
+        self.slots = np.full(size, -1, np.int32)
+        self.ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
+        self.ids = np.fromiter(lengths.values(), np.uint16, len(tokens))
+        self.bytes = b"".join(tokens)
+        for k, t in enumerate(tokens):
+            at = xxhash.xxh32_intdigest(t) & self.mask
+            while self.slots[at] >= 0:
+                at = (at + 1) & self.mask
+            self.slots[at] = k
+
+    def get(self, token: str) -> int:
+        """Number of ids of ``token``; 0 if the table doesn't have it."""
+        t = token.encode()
+        at = xxhash.xxh32_intdigest(t) & self.mask
+        while (k := self.slots[at]) >= 0:
+            if self.bytes[self.ends[k] : self.ends[k + 1]] == t:
+                return int(self.ids[k])
+            at = (at + 1) & self.mask
+        return 0
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
 def byte_level_chunks(text: str) -> list[str]:
     """Chunks for a vocabulary whose pre-tokens may begin with one space."""
     if _ODD.search(text):
@@ -91,16 +132,24 @@ def word_encoder(tokenizer):
     return encode
 
 
-def byte_level_counter(tokenizer):
-    """chunk of :func:`byte_level_chunks` -> its number of ids."""
-    parts = _parts(tokenizer, len)
+def byte_level_counter(tokenizer, table: LengthTable | None = None):
+    """chunk of :func:`byte_level_chunks` -> its number of ids: its pre-tokens are looked up in ``table``, and a miss is
+    encoded once for the worker's cache."""
+    stand_in, model = byte_alphabet(), tokenizer.model
+    parts = ChunkCache(lambda x: len(model.tokenize(x.encode().decode("latin-1").translate(stand_in))))
+    known = table.get if table is not None else lambda x: 0
 
     def count(chunk: str) -> int:
         if "<|" in chunk:
             return len(tokenizer.encode(chunk, add_special_tokens=False))
         if _PLAIN_SPACED.match(chunk):
-            return sum(parts.values_of(_BYTE_PARTS.findall(chunk)))
+            return sum(known(x) or parts.value(x) for x in _BYTE_PARTS.findall(chunk))
         pieces = _COARSE.findall(chunk)
         return sum(map(count, pieces)) if len(pieces) > 1 else len(tokenizer.encode(chunk, add_special_tokens=False))
 
     return count
+
+
+def pre_tokens(chunk: str) -> list[str]:
+    """The pre-tokens of a plain chunk; none of another."""
+    return _BYTE_PARTS.findall(chunk) if "<|" not in chunk and _PLAIN_SPACED.match(chunk) else []
