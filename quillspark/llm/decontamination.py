@@ -1,34 +1,34 @@
 """Benchmark decontamination: an FM-index for each training shard, searched backwards for the test phrases.
 
-A window is ``WINDOW`` consecutive words of a benchmark item (a shorter item is one window). A shard is a bounded run of
-documents of one scan partition. Words that no item has cannot be in an occurrence, so a shard indexes only the runs of
-known words that are long enough for a window; all windows are searched together, each occurrence is located by sampled
-suffix positions, and occurrences merge into removal spans. The job is map-only; only the benchmark is broadcast, in
-blocks of at most ``BLOCK_CHARS`` characters, one pass for each block.
+A window is ``WINDOW`` consecutive words of a benchmark item (a shorter item is one window). A shard is a run of whole
+documents of one scan partition, about ``SHARD_BYTES`` of text; all its words are in its index, numbered by the shard's own
+vocabulary. All windows are searched together, each occurrence is located by sampled suffix positions, and occurrences
+merge into removal spans. The job is map-only; only the benchmark is broadcast, in blocks of at most ``BLOCK_CHARS``
+characters on average. A shard is indexed once and searched for the windows of every block, one block after the other, so
+the number of blocks changes no result.
 
 Defined results: a null or empty text has no words, a null item no windows; rows with a null doc_id and repeated rows are
-searched as they come, each alone; other columns are not read.
+searched as they come, each alone; other columns are not read, and pass through ``without_phrases`` untouched.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, small
+from .common import free_name
 from .fm_index import FMIndex
 
-WINDOW, SHARD_BYTES, BLOCK_CHARS = 10, 16_000_000, 32_000_000
+WINDOW, SHARD_BYTES, BLOCK_CHARS = 10, 8_000_000, 32_000_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-SCHEMA = "doc_id long, n_words long, spans array<array<int>>, items array<string>"
+FOUND = "n_words long, spans array<array<int>>, items array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,47 +52,43 @@ class Phrases:
             of_length.setdefault(len(w), []).append(w)
         #: For each length: the windows, and the number of each.
         self.groups = [(n, np.array(ws, np.int64), np.array([number[w] for w in ws])) for n, ws in sorted(of_length.items())]
-        self.shortest = min(of_length, default=0)
         owned = np.array(sorted(pairs), np.int64).reshape(-1, 2)
         self.owner = owned[:, 1]
         self.owner_from = np.searchsorted(owned[:, 0], np.arange(len(number) + 1))
 
 
-def search_shard(words: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[int, int]], set[str]]]:
+def search_shard(words: list[list[bytes]], blocks: list[Phrases]) -> list[tuple[list[tuple[int, int]], set[str]]]:
     """For each document its merged spans of hit words (end exclusive) and the items found in it."""
     out: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in words]
-    if not phrases.groups:
-        return out
-    runs, run_doc, run_at = [], [], []
-    get = phrases.word.get
-    for d, ws in enumerate(words):
-        ids = np.fromiter(map(get, ws, repeat(0)), np.int64, len(ws))
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], ids > 0, [0]])))
-        a, b = edge[::2], edge[1::2]
-        for i in np.flatnonzero(b - a >= phrases.shortest):
-            runs.append(ids[a[i] : b[i]])
-            run_doc.append(d)
-            run_at.append(a[i])
-    if not runs:
+    number: dict[bytes, int] = {}
+    runs = [np.fromiter((number.setdefault(w, len(number) + 1) for w in ws), np.int64, len(ws)) for ws in words]
+    if not number or not any(p.groups for p in blocks):
         return out
     index = FMIndex(runs)
-    run_doc, run_at = np.array(run_doc), np.array(run_at)
-    found = []
-    for n, windows, number in phrases.groups:
-        first, last = index.search(windows)
-        hit = np.flatnonzero(last > first)
-        count = (last - first)[hit]
-        if len(hit):
-            rows = np.repeat(first[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at = index.locate(rows)
-            run = np.searchsorted(index.starts, at, side="right") - 1
-            start = run_at[run] + at - index.starts[run]
-            found.append(np.column_stack([run_doc[run], start, start + n, np.repeat(number[hit], count)]))
+    found, base = [], 0
+    for phrases in blocks:
+        of_word = np.zeros(len(phrases.word) + 1, np.int64)  # 0: not in this shard
+        for w, k in phrases.word.items():
+            of_word[k] = number.get(w, 0)
+        for n, windows, window_number in phrases.groups:
+            windows = of_word[windows]
+            here = np.flatnonzero((windows > 0).all(axis=1))
+            first, last = index.search(windows[here])
+            hit = np.flatnonzero(last > first)
+            count = (last - first)[hit]
+            if len(hit):
+                rows = np.repeat(first[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                at = index.locate(rows)
+                run = np.searchsorted(index.starts, at, side="right") - 1
+                start = at - index.starts[run]
+                found.append(np.column_stack([run, start, start + n, base + np.repeat(window_number[here][hit], count)]))
+        base += len(phrases.owner_from) - 1
     if not found:
         return out
     found = np.concatenate(found)
     found = found[np.lexsort([found[:, 1], found[:, 0]])]
     bounds = np.flatnonzero(np.diff(found[:, 0], prepend=-1))
+    bases = np.cumsum([0] + [len(p.owner_from) - 1 for p in blocks])
     for a, b in zip(bounds, [*bounds[1:], len(found)], strict=True):
         spans, items = out[found[a, 0]]
         for _, start, end, _ in found[a:b].tolist():
@@ -100,8 +96,10 @@ def search_shard(words: list[list[bytes]], phrases: Phrases) -> list[tuple[list[
                 spans[-1] = (spans[-1][0], max(spans[-1][1], end))
             else:
                 spans.append((start, end))
-        for w in np.unique(found[a:b, 3]):
-            items.update(phrases.items[k] for k in phrases.owner[phrases.owner_from[w] : phrases.owner_from[w + 1]])
+        for w in np.unique(found[a:b, 3]).tolist():
+            k = int(np.searchsorted(bases, w, side="right")) - 1
+            p, w = blocks[k], w - int(bases[k])
+            items.update(p.items[i] for i in p.owner[p.owner_from[w] : p.owner_from[w + 1]])
     return out
 
 
@@ -118,58 +116,37 @@ def _blocks(benchmark: DataFrame, window: int, n: int) -> Iterator[Phrases]:
         yield Phrases([(r.i, r.t) for r in block.toLocalIterator()], window)
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, spans (word numbers, end exclusive) and items, for each row of ``docs``."""
-    n = _block_count(benchmark)
-    if n == 1:
-        return _spans(docs, benchmark, window, n)
-    rows = _numbered(docs.select(F.col("doc_id").cast("long").alias("__doc"), "text"))
-    found = _spans(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark, window, n).withColumnRenamed("doc_id", "__row")
-    return rows.select("__row", F.col("__doc").alias("doc_id")).join(found, "__row").drop("__row")
-
-
-def _spans(docs: DataFrame, benchmark: DataFrame, window: int, n: int) -> DataFrame:
-    """``find_spans`` over ``n`` blocks; with several, the results of a doc_id are merged, so it must be unique."""
-
-    def one(phrases: Phrases) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(phrases)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for ids, words in _shards(batches):
-                found = search_shard(words, shared.value)
-                yield pd.DataFrame({"doc_id": ids, "n_words": list(map(len, words)), "spans": [s for s, _ in found], "items": [sorted(i) for _, i in found]}).astype({"doc_id": "Int64"})
-
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
-
-    parts = [one(p) for p in _blocks(benchmark, window, n)]
-    if len(parts) == 1:
-        return parts[0]
-    both = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    grow = F.aggregate(
-        "s",
-        F.array().cast("array<array<int>>"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.element_at(F.element_at(done, -1), 2) >= s[0]),
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.array(F.element_at(done, -1)[0], F.greatest(F.element_at(F.element_at(done, -1), 2), s[1])))),
-        ).otherwise(F.concat(done, F.array(s))),
-    )
-    return both.select("doc_id", "n_words", F.when(F.size("s") > 0, grow).otherwise(F.col("s")).alias("spans"), "items")
+def _shared_blocks(benchmark: DataFrame, window: int) -> list[Broadcast]:
+    """A broadcast for each block of items: the driver holds one block at a time, a worker those that it has read."""
+    sc = benchmark.sparkSession.sparkContext
+    return [sc.broadcast(p) for p in _blocks(benchmark, window, _block_count(benchmark))]
 
 
-def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[list[bytes]]]]:
-    ids: list = []
+def _shards(batches: Iterator[pd.Series]) -> Iterator[list[list[bytes]]]:
+    """Words of the texts, a shard at a time."""
     words: list[list[bytes]] = []
     size = 0
-    for pdf in batches:
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            ids.append(None if pd.isna(doc_id) else int(doc_id))
+    for texts in batches:
+        for text in texts:
             words.append(words_of(text))
             size += len(text or "")
             if size >= SHARD_BYTES:
-                yield ids, words
-                ids, words, size = [], [], 0
-    if ids:
-        yield ids, words
+                yield words
+                words, size = [], 0
+    yield words
+
+
+def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, spans (word numbers, end exclusive) and items, for each row of ``docs``. Only texts go to Python."""
+    shared = _shared_blocks(benchmark, window)
+
+    @F.pandas_udf(FOUND)
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for words in _shards(batches):
+            found = search_shard(words, [b.value for b in shared])
+            yield pd.DataFrame({"n_words": np.fromiter(map(len, words), np.int64, len(words)), "spans": [s for s, _ in found], "items": [sorted(i) for _, i in found]})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), search("text").alias("f")).select("doc_id", "f.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -185,11 +162,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row, held so that every pass sees the same ones."""
-    return cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
-
-
 def _cut(text: str, spans: list) -> tuple[str, bool]:
     """The text without the spans of its words, and whether a word is left."""
     data, at, out = text.encode(), 0, []
@@ -204,27 +176,33 @@ def without_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     """The rows of ``docs`` with each removal span cut from the text, from its first word to its last.
 
     All columns stay; ``n_chars`` follows the text. A text that loses its last word is dropped, others are kept.
-    With several blocks of items, the spans of all are found on the texts as they come, merged for each row and cut once.
     """
-    columns, schema = docs.columns, docs.schema
-    lengths = "n_chars" in columns
-
-    def run(batches: Iterator[pd.DataFrame], spans_of) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, keep = list(pdf["text"]), np.ones(len(pdf), bool)
-            for i, spans in enumerate(spans_of(pdf)):
-                if spans is not None and len(spans):
-                    texts[i], keep[i] = _cut(texts[i], spans)
-            pdf = pdf.assign(text=texts)
-            if lengths:
-                pdf["n_chars"] = [n if t is None else len(t) for t, n in zip(texts, pdf["n_chars"], strict=True)]
-            yield pdf[keep][columns]
-
-    n = _block_count(benchmark)
-    if n > 1:
-        rows = _numbered(docs)
-        found = _spans(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark, window, n)
-        hit = small(cut_lineage(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__row"), F.col("spans").alias("__spans"))))
-        return rows.join(hit, "__row", "left").mapInPandas(lambda batches: run(batches, lambda pdf: pdf["__spans"]), schema)
-    shared = docs.sparkSession.sparkContext.broadcast(next(_blocks(benchmark, window, n)))
-    return docs.mapInPandas(lambda batches: run(batches, lambda pdf: [s for s, _ in search_shard([words_of(t) for t in pdf["text"]], shared.value)]), schema)
+    shared = _shared_blocks(benchmark, window)
+
+    @F.pandas_udf("text string, hit boolean, stays boolean")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        texts: list[str | None] = []
+
+        def noted() -> Iterator[pd.Series]:
+            for batch in batches:
+                texts.extend(batch)
+                yield batch
+
+        for words in _shards(noted()):
+            own = texts[: len(words)]
+            del texts[: len(words)]
+            spans = [s for s, _ in search_shard(words, [b.value for b in shared])]
+            done = [_cut(t, s) if s else (t, True) for t, s in zip(own, spans, strict=True)]
+            yield pd.DataFrame({"text": pd.Series([t for t, _ in done], dtype=object), "hit": [bool(s) for s in spans], "stays": [k for _, k in done]})
+
+    name = free_name(docs, "cut")
+    found = docs.withColumn(name, cut("text")).where(F.col(name)["stays"])
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col(name)["text"].alias(c)
+        if c == "n_chars":
+            return F.when(F.col(name)["hit"], F.length(F.col(name)["text"])).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
+        return F.col(f"`{c}`")
+
+    return found.select(*map(column, docs.columns))

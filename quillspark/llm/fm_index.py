@@ -6,19 +6,29 @@ import numpy as np
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Start positions of the suffixes of ``text`` in order, by prefix doubling; symbols are at least 0."""
+    """Start positions of the suffixes of ``text`` in order, by prefix doubling; symbols are at least 0.
+
+    A round sorts only the suffixes whose place is still open: after a few words, those of repeats.
+    """
     n = len(text)
-    _, rank = np.unique(text, return_inverse=True)
-    rank, step = rank.reshape(-1).astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while n and rank[order[-1]] < n - 1:
-        behind = np.zeros(n, np.int64)
-        if step < n:
-            behind[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + behind
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
+    order = np.argsort(text, kind="stable")
+    rank = np.empty(n, np.int64)  # the place where the suffix's group begins
+    new = np.concatenate([[True], text[order[1:]] != text[order[:-1]]])[:n]
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    step = 1
+    last = np.concatenate([new[1:], [True]])[:n]
+    places = np.flatnonzero(~(new & last))  # places of groups with several members
+    while len(places):
+        own = order[places]
+        behind = own + step
+        key = rank[own] * (n + 1) + np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
+        by = np.argsort(key, kind="stable")
+        own, key = own[by], key[by]
+        order[places] = own
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[own] = places[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
+        last = np.concatenate([new[1:], [True]])
+        places = places[~(new & last)]
         step *= 2
     return order
 
@@ -31,7 +41,7 @@ class WaveletMatrix:
         self.ones, self.zeros = [], []
         for b in range(self.bits - 1, -1, -1):
             bit = (symbols >> b) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int64))
+            self.ones.append(np.concatenate([[0], np.cumsum(bit, dtype=np.int32)]).astype(np.int32))
             self.zeros.append(len(symbols) - int(bit.sum()))
             symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
 
@@ -70,7 +80,9 @@ class FMIndex:
         self.n = len(text)
         self.bwt = WaveletMatrix(text[order - 1])
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1))])  # symbols less than each
-        kept = (order % sample == 0) | np.isin(order, self.starts)  # a walk back never leaves its run
+        begins = np.zeros(len(text), bool)
+        begins[self.starts[lengths >= 0]] = True
+        kept = (order % sample == 0) | begins[order]  # a walk back never leaves its run
         self.kept = np.concatenate([[0], np.cumsum(kept)])
         self.positions = order[kept]
 
