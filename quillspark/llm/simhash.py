@@ -1,14 +1,17 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
 Two fingerprints within ``RADIUS`` bits share a variant within half the radius of both (an odd radius: within the lower
-half of one, the upper half of the other). Every distinct fingerprint has 2081 such variants at radius 4; they are shuffled by a prefix, so that a fingerprint travels once for each prefix that its variants
-can have, and the variants of a prefix are expanded where they meet. All fingerprints of one variant are within the
-radius of one in its lower half, so each is linked to one such (verified), not to all. The prefix grows with the number of
-fingerprints, which keeps the work of a prefix level. Copies are one fingerprint, and a ball of radius 4 has at most
-679 121 fingerprints, which bounds a hot prefix; a task expands it in parts. Components are computed distributed.
-
-Defined results: a null or empty text has fingerprint zero and is linked like any other; rows with a null doc_id get the
-component of their fingerprint (null if no doc_id has it); repeated rows are returned as they come; other columns are not read.
+half of one, the upper half of the other). Every distinct fingerprint has 2081 such variants at radius 4; they are shuffled
+by a prefix, so that a fingerprint travels once for each prefix that its variants can have, and the variants of a prefix
+are expanded where they meet. All fingerprints of one variant are within the radius of one in its lower half, so each is
+linked to one such (verified), not to all. The prefix grows with the number of fingerprints; a prefix that is nevertheless
+shared by more than ``HOT_PRINTS`` of them is dealt out again under ``STEP`` more bits, in rounds, if need be up to whole
+variants, which have at most as many fingerprints as a ball of half the radius. Copies are one fingerprint, and components
+are computed distributed over fingerprints.
+
+Defined results: a null or empty text has fingerprint zero and is linked like any other; rows with a null doc_id link
+nothing and get the component of their fingerprint (null if no doc_id has it); rows that share a doc_id are linked by their
+texts alone, each row has the component of its own text; repeated rows are returned as they come; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, small
 from .components import components
 
 SHINGLE, SEED, BITS, RADIUS = 4, 42, 64, 4
@@ -30,6 +33,8 @@ SHINGLE, SEED, BITS, RADIUS = 4, 42, 64, 4
 MOST_RADIUS = 8
 #: Variants that one prefix should have on average; and the most that a task holds at a time.
 PREFIX_VARIANTS, HELD_VARIANTS = 500_000, 3_000_000
+#: Fingerprints of a prefix beyond which it is split, and the bits that a split adds.
+HOT_PRINTS, STEP = 50_000, 4
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -51,14 +56,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (long with the fingerprint's bits) for each row of ``docs``."""
+    """doc_id, h (hash of the text), fp (long with the fingerprint's bits) for each row of ``docs``. Only texts go to Python."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.fromiter(map(fingerprint, pdf["text"]), "u8", len(pdf))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view("i8")})
+    @F.pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.fromiter(map(fingerprint, texts), "u8", len(texts)).view("i8"))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), run("text").alias("fp"))
 
 
 @lru_cache(maxsize=64)
@@ -121,51 +126,75 @@ def _collide(fp: np.ndarray, prefix: int, bits: int, half: int, odd: bool = Fals
     return pairs[:, 0], pairs[:, 1]
 
 
+def _dealt(prints: DataFrame, bits: int, half: int) -> DataFrame:
+    """bits, prefix, fp: each fingerprint under every prefix that a variant of it can have."""
+    near = F.transform(F.array(*[F.lit(int(m)) for m in _flips(bits, half).tolist()]), lambda m: F.shiftrightunsigned("fp", BITS - bits).bitwiseXOR(m.cast("long")))
+    return prints.select(F.lit(bits).alias("bits"), F.explode(near).alias("prefix"), "fp")
+
+
+def _split(hot: DataFrame, half: int) -> DataFrame:
+    """Rows of hot prefixes under each longer prefix that a variant of them can have."""
+    hot = hot.select(F.col("bits").alias("was"), F.col("prefix").alias("head"), "fp")
+    step = F.least(F.lit(STEP), F.lit(BITS) - F.col("was"))
+    longer = F.col("was") + step
+    shift = lambda x, n: F.call_function("shiftleft", x, n)
+    tails = F.transform(F.sequence(F.lit(0).cast("long"), shift(F.lit(1).cast("long"), step) - 1), lambda t: shift(F.col("head"), step).bitwiseOR(t))
+    apart = lambda p: F.bit_count(F.call_function("shiftrightunsigned", F.col("fp"), F.lit(BITS) - longer).bitwiseXOR(p))
+    return hot.select(longer.alias("bits"), F.explode(F.filter(tails, lambda p: apart(p) <= half)).alias("prefix"), "fp")
+
+
 def link(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc, root for distinct ``prints`` (fp, doc): pairs that connect whatever lies within ``radius`` bits."""
+    """fp, root for distinct ``prints`` (fp): pairs that connect whatever lies within ``radius`` bits."""
     if not 0 <= radius <= MOST_RADIUS:
         raise ValueError(f"radius {radius} is not within 0 and {MOST_RADIUS}")
     half, odd = (radius + 1) // 2, radius % 2 == 1
-    n = prints.count()
-    total = n * len(_flips(BITS, half))
+    total = prints.count() * len(_flips(BITS, half))
     bits = min(32, max(2, (total // PREFIX_VARIANTS).bit_length()))
-    masks = _flips(bits, half).tolist()
-    spread = prints.select(
-        "fp", "doc", F.explode(F.transform(F.array(*[F.lit(int(m)) for m in masks]), lambda m: F.shiftrightunsigned("fp", BITS - bits).bitwiseXOR(m.cast("long")))).alias("prefix")
-    )
+    dealt, done = _dealt(prints, bits, half), []
+    while True:
+        # at 64 bits a prefix is a variant: its ball bounds it
+        hot = cut_lineage(dealt.groupBy("bits", "prefix").agg(F.count("*").alias("n")).where((F.col("n") > HOT_PRINTS) & (F.col("bits") < BITS)).select("bits", "prefix"))
+        if hot.isEmpty():
+            break
+        hot = small(hot)
+        done.append(dealt.join(hot, ["bits", "prefix"], "left_anti"))
+        dealt = cut_lineage(_split(dealt.join(hot, ["bits", "prefix"], "left_semi"), half))
+    for part in done:
+        dealt = dealt.unionByName(part)
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, doc = pdf["fp"].to_numpy().view("u8"), pdf["doc"].to_numpy()
-        a, b = _collide(fp, int(key[0]), bits, half, odd)
+        fp = pdf["fp"].to_numpy().view("u8")
+        a, b = _collide(fp, int(np.int64(key[1]).view("u8")), int(key[0]), half, odd)
         close = np.bitwise_count(fp[a] ^ fp[b]) <= radius
         a, b = a[close], b[close]
         nodes, local = np.unique(np.concatenate([a, b]), return_inverse=True)
         local = local.reshape(-1)
-        nodes_by_doc = np.argsort(doc[nodes], kind="stable")
-        rank = np.empty_like(nodes_by_doc)
-        rank[nodes_by_doc] = np.arange(len(nodes))
-        root = _roots(len(nodes), rank[local[: len(a)]], rank[local[len(a) :]])
-        docs = doc[nodes][nodes_by_doc]
+        root = _roots(len(nodes), local[: len(a)], local[len(a) :])
+        own = pdf["fp"].to_numpy()[nodes]
         linked = root != np.arange(len(nodes))
-        return pd.DataFrame({"doc": docs[linked], "root": docs[root[linked]]})
+        return pd.DataFrame({"fp": own[linked], "root": own[root[linked]]})
 
-    return spread.groupBy("prefix").applyInPandas(meet, "doc long, root long")
+    return dealt.groupBy("bits", "prefix").applyInPandas(meet, "fp long, root long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id for each row of ``docs``."""
+    """doc_id, h, fp, component_id for each row of ``docs``."""
     prints = cut_lineage(fingerprints(docs))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("doc"))
-    roots = components(link(distinct.where("doc IS NOT NULL"), radius), "doc", "root")
-    of_print = distinct.join(roots, F.col("doc") == F.col("node"), "left").select("fp", F.coalesce("root", "doc").alias("component_id"))
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    roots = cut_lineage(components(link(distinct.where("doc IS NOT NULL").select("fp"), radius), "fp", "root"))
+    classes = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+    members = distinct.join(classes, F.col("fp") == F.col("node"), "left").select("fp", "doc", "root")
+    least = members.where("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("least"))
+    of_print = members.join(least, "root", "left").select("fp", F.coalesce("least", "doc").alias("component_id"))
+    return prints.join(of_print, "fp").select("doc_id", "h", "fp", "component_id")
 
 
 def first_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component; all columns stay. A null doc_id stays."""
+    """The rows of ``docs`` whose doc_id is the least of their component; all columns stay. A null doc_id stays."""
     found = near_duplicates(docs.where("doc_id IS NOT NULL"), radius)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.struct("doc_id", "h").alias("gone")).distinct()
+    own = F.struct(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("h"))
+    return docs.join(gone, own == gone["gone"], "left_anti")
 
 
 def digest(found: DataFrame) -> DataFrame:
