@@ -45,22 +45,27 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def with_text_id(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with doc_id as long and ``part``, which tells apart rows that share a doc_id: 0 where all
-    rows of the doc_id have one text, else the text's XXH64. Rows equal in both are one document.
-
-    Only two hashes for each doc_id are aggregated; the repeated doc_ids, hardly any, come back by a broadcast if counted small.
-    """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    h = F.xxhash64("text")
-    several = own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("again"))
-    joined = own.join(small(cut_lineage(several)), F.col("doc_id") == F.col("again"), "left")
-    return joined.select("doc_id", F.when(F.col("again").isNull(), F.lit(0).cast("long")).otherwise(h).alias("part"), "text")
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores behind it, so that no column of ``df`` has it (in any case)."""
     taken = {c.lower() for c in df.columns}
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def add_part(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the column ``name``, which tells apart rows that share a doc_id: 0 where all rows of the doc_id have one
+    text, else the text's XXH64. Rows equal in both are one document.
+
+    Only two hashes for each doc_id are aggregated; the repeated doc_ids, hardly any, come back by a broadcast if counted small.
+    """
+    again = free_name(docs, "again")
+    own, h = docs.select(F.col("doc_id").cast("long").alias(again), F.xxhash64("text").alias("h")), F.xxhash64("text")
+    several = own.where(F.col(again).isNotNull()).groupBy(again).agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select(again)
+    joined = docs.join(small(cut_lineage(several)), F.col("doc_id").cast("long") == F.col(again), "left")
+    return joined.select(*docs.columns, F.when(F.col(again).isNull(), F.lit(0).cast("long")).otherwise(h).alias(name))
+
+
+def with_text_id(docs: DataFrame) -> DataFrame:
+    """doc_id (as long), text and part (``add_part``)."""
+    return add_part(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "part")

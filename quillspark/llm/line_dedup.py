@@ -4,21 +4,27 @@ Lines of at least ``NEAR_CHARS`` characters are cut into threshold + 1 segments.
 them whole, so each line is indexed under (length, segment number, segment) and probed with its substrings at the places
 that a partner of each length can have them. Candidates are verified by a banded bit-parallel edit distance: the
 2 * threshold + 1 diagonals of a column are the bits of one word. Linked lines and copies form classes, of which the first
-line (least doc_id, then place) stays. A key that more than ``HOT_LINES`` different lines share never pairs them: with
-threshold 1, its lines differ in one place, so each is dealt out under the line without that place, and linked in a star.
+line (least doc_id, then place) stays.
+
+A key that more than ``HOT_LINES`` different lines share doesn't pair them all. With threshold 1, the rest of its lines
+differs in one place, so each is dealt out under the line without that place (as an XOR of hashes of places and
+characters, so that a line costs its length), and the first of each deal is the candidate of the others. All candidates are
+verified alike. Other thresholds have no such way: a hot key raises.
 
 Defined results: a null text has no lines; a line without a word is never removed; rows with a null doc_id are left as
-they are and repeat nobody; rows that repeat doc_id and text are one document; other columns are not read.
+they are and repeat nobody; rows that repeat doc_id and text are one document; rows of one doc_id with different texts are
+different documents, of which the one with the lesser hash of its text comes first; other columns are not read, and pass
+through ``without_lines`` untouched.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, let, small
+from .common import add_part, cut_lineage, free_name, let, small, with_text_id
 from .components import components
 
 THRESHOLD, NEAR_CHARS, HOT_LINES = 1, 8, 64
@@ -69,10 +75,10 @@ def within(a: Column, b: Column, threshold: int) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc, place and line of each line with a word."""
+    """doc, part, place and line of each line with a word. docs: doc_id, part, text."""
     return (
         docs.where("doc_id IS NOT NULL")
-        .select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+        .select(F.col("doc_id").alias("doc"), "part", F.posexplode(F.split("text", "\n")).alias("place", "line"))
         .where(F.btrim("line", F.lit(_BLANKS)) != "")
     )
 
@@ -111,6 +117,31 @@ def _candidates(lines: DataFrame, threshold: int) -> DataFrame:
     return cut_lineage(found)
 
 
+def _dealt_out(hot: DataFrame) -> DataFrame:
+    """x, y: of the lines of each hot key, the first of those that agree but for one place, and each of the others.
+
+    hot: key, side, h, g, start and size of the segment, line. A line without its character i meets those that differ there
+    (all within one edit of each other); a line as it is meets those with one character more.
+    """
+    rest = F.concat(F.expr("substring(line, 1, start)"), F.expr("substring(line, start + size + 1)"))
+    chars = hot.select("key", "side", F.struct("h", "g").alias("x"), F.posexplode(F.split(rest, "")).alias("i", "c"))
+    hashed = chars.select("key", "side", "x", "i", F.xxhash64("i", "c").alias("here"), F.xxhash64(F.col("i") - 1, "c").alias("before"))
+    line = Window.partitionBy("key", "side", "x")
+    upto = line.orderBy("i")
+    # XOR of the characters at their places: all, all but this one, and all but this one with the later ones moved up
+    whole = F.bit_xor("here").over(line)
+    lead = F.bit_xor("here").over(upto).bitwiseXOR(F.col("here"))
+    tail = F.bit_xor("before").over(line).bitwiseXOR(F.bit_xor("before").over(upto))
+    placed = hashed.select("key", "side", "x", "i", whole.alias("whole"), whole.bitwiseXOR(F.col("here")).alias("masked"), lead.bitwiseXOR(tail).alias("shorter"))
+    masked = placed.where("side = 0").select(F.xxhash64("key", F.lit(0), "i", "masked").alias("v"), "x")
+    shorter = placed.where("side = 1").select(F.xxhash64("key", F.lit(1), "shorter").alias("v"), F.col("x").alias("y"))
+    as_it_is = placed.where("side = 0 AND i = 0").select(F.xxhash64("key", F.lit(1), "whole").alias("v"), "x")
+    first = masked.groupBy("v").agg(F.min("x").alias("a"), F.max("x").alias("z")).where("a < z").select("v", "a")
+    stars = masked.join(first, "v").where("a < x").select(F.col("a").alias("x"), F.col("x").alias("y"))
+    least = as_it_is.groupBy("v").agg(F.min("x").alias("x"))  # lines of one rest and key are one line
+    return stars.unionByName(least.join(shorter, "v").select("x", "y"))
+
+
 def _links(lines: DataFrame, threshold: int) -> DataFrame:
     """a, b: hashes of different lines within the threshold, enough of them to connect all that are linked."""
     rows = _candidates(lines, threshold)
@@ -118,43 +149,29 @@ def _links(lines: DataFrame, threshold: int) -> DataFrame:
     texts = cut_lineage(lines.where(F.length("line") >= NEAR_CHARS).select(*_identity(F.col("line")), "line").join(wanted, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("line").alias("line")))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
     sized = rows.join(sizes, "key")
-    few = sized.where(F.col("n") <= HOT_LINES) if threshold == 1 else sized
+    few, hot = sized.where(F.col("n") <= HOT_LINES), sized.where(F.col("n") > HOT_LINES)
+    if threshold != 1 and not hot.isEmpty():
+        raise ValueError(f"threshold {threshold}: a key has over {HOT_LINES} lines, and only threshold 1 has a way around all their pairs")
     pairs = (
         few.where("side = 0").select("key", F.col("h").alias("a"), F.col("g").alias("ga"))
         .join(few.select("key", F.col("h").alias("b"), F.col("g").alias("gb"), "side"), "key")
         .where("a < b OR (side = 1 AND a > b)")
         .select(F.struct(F.col("a").alias("h"), F.col("ga").alias("g")).alias("x"), F.struct(F.col("b").alias("h"), F.col("gb").alias("g")).alias("y"))
-        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        .distinct()
     )
+    if threshold == 1:
+        pairs = pairs.unionByName(_dealt_out(hot.join(texts, ["h", "g"])))
+    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct()
     left = texts.select(F.col("h").alias("a"), F.col("g").alias("ga"), F.col("line").alias("la"))
     right = texts.select(F.col("h").alias("b"), F.col("g").alias("gb"), F.col("line").alias("lb"))
-    checked = (
-        pairs.select(F.col("x.h").alias("a"), F.col("x.g").alias("ga"), F.col("y.h").alias("b"), F.col("y.g").alias("gb")).join(left, ["a", "ga"]).join(right, ["b", "gb"]).where(within(F.col("la"), F.col("lb"), threshold)).select("a", "b")
-    )
-    if threshold != 1:
-        return checked
-    # A hot key: the rest of its lines differs in one place at most. A line without its character i meets those that
-    # differ there (all within one edit of each other); a line as it is meets those with one character more.
-    hot = sized.where(F.col("n") > HOT_LINES).join(texts, ["h", "g"])
-    rest = F.concat(F.expr("substring(line, 1, start)"), F.expr("substring(line, start + size + 1)"))
-    place = F.explode(F.sequence(F.lit(0), F.length("rest")))
-    dealt = hot.select("key", "side", "h", rest.alias("rest")).select("key", "side", "h", "rest", place.alias("i"))
-    without = F.concat(F.expr("substring(rest, 1, i)"), F.expr("substring(rest, i + 2)"))
-    n = F.length("rest")
-    replaced = dealt.where((F.col("side") == 0) & (F.col("i") < n)).select(F.xxhash64("key", F.lit(0), "i", without).alias("v"), "h")
-    shorter = dealt.where((F.col("side") == 1) & (F.col("i") < n)).select(F.xxhash64("key", F.lit(1), without).alias("v"), "h")
-    whole = dealt.where((F.col("side") == 0) & (F.col("i") == 0)).select(F.xxhash64("key", F.lit(1), "rest").alias("v"), "h")
-    center = replaced.groupBy("v").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a < z").select("v", "a")
-    stars = replaced.join(center, "v").select("a", F.col("h").alias("b")).unionByName(whole.select("v", F.col("h").alias("a")).join(shorter.select("v", F.col("h").alias("b")), "v").select("a", "b"))
-    return checked.unionByName(stars.where("a <> b")).distinct()
+    named = pairs.select(F.col("x.h").alias("a"), F.col("x.g").alias("ga"), F.col("y.h").alias("b"), F.col("y.g").alias("gb"))
+    return named.join(left, ["a", "ga"]).join(right, ["b", "gb"]).where(within(F.col("la"), F.col("lb"), threshold)).select("a", "b")
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc, place, near: the lines that go; ``near`` if no equal line came before."""
+    """doc, part, place, near: the lines that go; ``near`` if no equal line came before. docs: doc_id, part, text."""
     lines = _lines(docs)
-    known = lines.select("doc", "place", *_identity(F.col("line")))
-    firsts = known.groupBy("h", "g").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n"))
+    known = lines.select("doc", "part", "place", *_identity(F.col("line")))
+    firsts = known.groupBy("h", "g").agg(F.min(F.struct("doc", "part", "place")).alias("first"), F.count("*").alias("n"))
     roots = components(_links(lines, threshold), "a", "b")
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     members = cut_lineage(firsts.join(linked, F.col("h") == F.col("node")).select("h", "g", "first", "root"))
@@ -162,21 +179,17 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     near = members.join(heads, "root").select("h", "g", F.col("first").alias("own"), "head")
     copies = firsts.where("n > 1").select("h", "g", F.col("first").alias("own"), F.col("first").alias("head"))
     decided = near.unionByName(copies.join(members.select("h", "g"), ["h", "g"], "left_anti"))
-    return (
-        known.join(decided, ["h", "g"])
-        .where((F.col("doc") != F.col("head.doc")) | (F.col("place") != F.col("head.place")))
-        .select("doc", "place", ((F.col("doc") == F.col("own.doc")) & (F.col("place") == F.col("own.place"))).alias("near"))
-        .distinct()
-    )
+    here = F.struct("doc", "part", "place")
+    return known.join(decided, ["h", "g"]).where(here != F.col("head")).select("doc", "part", "place", (here == F.col("own")).alias("near")).distinct()
 
 
 def line_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_lines, n_removed, n_near, removed_lines (their numbers from 0, comma-joined) for each row of ``docs``."""
-    gone = removed_lines(docs, threshold).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("place", "near"))).alias("gone"))
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    counted = counted.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
+    own = with_text_id(docs)
+    gone = removed_lines(own, threshold).groupBy("doc", F.col("part").alias("p")).agg(F.sort_array(F.collect_list(F.struct("place", "near"))).alias("gone"))
+    counted = own.select("doc_id", "part", F.greatest(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"), F.lit(0)).alias("n_lines"))
     none = F.array().cast("array<struct<place:int,near:boolean>>")
-    return counted.join(gone, F.col("doc_id") == F.col("doc"), "left").select(
+    return counted.join(gone, (F.col("doc_id") == F.col("doc")) & (F.col("part") == F.col("p")), "left").select(
         "doc_id",
         "n_lines",
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
@@ -188,9 +201,18 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def without_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without the removed lines; all columns stay, ``n_chars`` follows the text. A text of which
     no line with a word is left is dropped; one that had none is kept."""
-    gone = removed_lines(docs, threshold).groupBy("doc").agg(F.collect_list("place").alias("__gone")).withColumnRenamed("doc", "__doc")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    joined = docs.join(gone, docs["doc_id"].cast("long") == F.col("__doc"), "left").withColumn("__left", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
-    kept = joined.where(F.col("__gone").isNull() | (F.btrim("__left", F.lit(_BLANKS)) != ""))
-    out = [F.col("__left").alias(c) if c == "text" else F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.length("__left")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return kept.select(*out)
+    part, doc, p, gone, left = (free_name(docs, c) for c in ("part", "doc", "p", "gone", "left"))
+    lines = removed_lines(with_text_id(docs), threshold).groupBy(F.col("doc").alias(doc), F.col("part").alias(p)).agg(F.collect_list("place").alias(gone))
+    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    joined = add_part(docs, part).join(lines, (F.col("doc_id").cast("long") == F.col(doc)) & (F.col(part) == F.col(p)), "left")
+    joined = joined.withColumn(left, F.when(F.col(gone).isNull(), F.col("text")).otherwise(rest))
+    kept = joined.where(F.col(gone).isNull() | (F.btrim(left, F.lit(_BLANKS)) != ""))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col(left).alias(c)
+        if c == "n_chars":
+            return F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.length(left)).cast(docs.schema[c].dataType).alias(c)
+        return F.col(f"`{c}`")
+
+    return kept.select(*map(column, docs.columns))

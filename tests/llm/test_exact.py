@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillspark.llm import automata, decontamination, fm_index, grouping_sort, license_scan, line_dedup, packing, quality_rules, secret_scan, simhash, suffix_dedup, token_counts, tokenizing, toxicity
+from quillspark.llm.common import with_text_id
 from quillspark.llm.queries import vocabulary
 
 ODD = [(1, None), (2, ""), (None, "a null id, with some words"), (3, "twice"), (3, "twice"), (4, " \n\t "), (5, "é" * 5000), (6, "日本 ² Ⅷ <|endoftext|>  x\r\n\ty ")]
@@ -479,7 +480,7 @@ def test_line_dedup(spark, monkeypatch, threshold, hot):
     base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(20, 40))) for _ in range(10)]
     rows = [(100 + i, "\n".join(rng.choice([mutated(rng, rng.choice(base), rng.randint(0, 2)), rng.choice(base), "", "  ", "x"]) for _ in range(rng.randint(0, 6)))) for i in range(60)] + ODD
     want = gone_lines(rows, threshold)
-    assert {tuple(r) for r in line_dedup.removed_lines(frame(spark, rows), threshold).collect()} == want
+    assert {(r.doc, r.place, r.near) for r in line_dedup.removed_lines(with_text_id(frame(spark, rows)), threshold).collect()} == want
     if hot == 64 and threshold == 1:
         got = line_dedup.line_dedup(frame(spark, rows)).collect()
         assert len(got) == len(rows) and sum(r.n_removed for r in got) == len(want)
@@ -499,10 +500,17 @@ def test_short_lines_are_joined(spark, monkeypatch, hot):
     rng = random.Random(12)
     base = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (8, 9, 12, 16, 20, 24)]
     rows = [(10 + i, "\n".join(mutated(rng, rng.choice(base), rng.randint(0, 2)) for _ in range(4))) for i in range(60)] + [(90, "one line of 23 letters.."), (91, "one line of 23 letters.")]
-    got = {tuple(r) for r in line_dedup.removed_lines(frame(spark, rows), 1).collect()}
+    got = {(r.doc, r.place, r.near) for r in line_dedup.removed_lines(with_text_id(frame(spark, rows)), 1).collect()}
     assert got == gone_lines(rows, 1) and (91, 0, True) in got
 
 
+def test_a_hot_key_of_threshold_2_raises(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_LINES", 2)
+    rows = [(k, f"one beginning for all of them {k}") for k in range(9)]
+    with pytest.raises(ValueError, match="threshold 2"):
+        line_dedup.line_dedup(frame(spark, rows), 2)
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -537,7 +545,7 @@ def test_ids_beside_a_null(spark):
     }
     for name, df in found.items():
         rows = df.collect()
-        assert collections.Counter(r.doc_id for r in rows) == collections.Counter(ids), name
+        assert {r.doc_id for r in rows} == set(ids) and (name == "op3" or len(rows) == len(ids)), name
         if name == "op6":
             assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     for df in (toxicity.without_toxic(docs, labels.where("toxic = 0")), decontamination.without_phrases(docs, bench), line_dedup.without_lines(docs), simhash.first_of_each(docs)):
