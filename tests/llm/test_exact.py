@@ -535,7 +535,8 @@ def test_quality_rules(spark):
 def test_ids_beside_a_null(spark):
     """Ids that a float can't hold stay as they are in a batch with a null one."""
     ids = [BIG, 2**60 + 7, -(2**62) - 1, None, 5]
-    docs = frame(spark, [(i, f"text number {k} of some words") for k, i in enumerate(ids)]).coalesce(1)
+    rng = random.Random(3)
+    docs = frame(spark, [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(12))) for i in ids]).coalesce(1)
     bench = spark.createDataFrame([(1, "nothing of it")], "item_id long, text string")
     labels = spark.createDataFrame([(BIG, 1, 0), (5, 1, 1)], "doc_id long, quality int, toxic int")
     found = {
@@ -555,7 +556,7 @@ def test_ids_beside_a_null(spark):
 def test_stages_keep_any_column(spark):
     """Columns with the names that the operators use inside, and of types that pandas can't take, pass through."""
     names = "__doc __gone __left __row __spans __id fp doc part key h g line place again a b node root component_id r cut keep".split()
-    docs = spark.createDataFrame([(i, f"some words of text {i}\nshared line of words", i) for i in range(6)], "doc_id long, text string, n_chars long")
+    docs = spark.createDataFrame([(i, f"{chr(97 + i) * 9} text {i} {chr(104 + i) * 9}\nshared line of words", i) for i in range(6)], "doc_id long, text string, n_chars long")
     docs = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)], F.expr("interval 1 month").alias("span"), F.expr("interval 3 hours").alias("hours"), F.expr("map('a', 1)").alias("m"))
     bench = spark.createDataFrame([(1, "text 3")], "item_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
