@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Longer texts are sorted alone; a batch of the others has this many bytes.
-SHORT, BATCH = 6_000, 2_000_000
+SHORT, BATCH = 6_000, 300_000
 
 
 def suffix_array(text: bytes) -> list[int]:

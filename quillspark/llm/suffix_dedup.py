@@ -40,6 +40,7 @@ LENGTH, GRAM = 100, 32
 LONGEST_RUN, CHUNK_BYTES, HOT_RUNS = 100, 1_500_000, 20_000
 #: Text that a task sorts at a time; a minimiser's runs are not parted.
 SORTED_BYTES = 3_000_000
+HASHED_BYTES = 32_768
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -74,14 +75,18 @@ def _sliding(pick, x: np.ndarray, span: int) -> np.ndarray:
 
 
 def window_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least gram hash and content hash of each LENGTH-byte window of ``data``, and the gram hashes."""
-    h = {1: _BYTE[data]}
-    for n in (1, 2, 4, 8, 16, 32):
-        h[2 * n] = _join(h[n], h[n], n, n)
-    grams = _mixed(h[GRAM])
-    h96 = _join(h[64], h[32], 64, 32)
-    content = _join(h96, h[4], 96, 4)
-    return _sliding(np.minimum, grams, LENGTH - GRAM + 1), content, grams
+    """Least gram hash and content hash of each LENGTH-byte window of ``data``, and the gram hashes; in blocks that a cache holds."""
+    parts = []
+    for a in range(0, max(1, len(data) - LENGTH + 1), HASHED_BYTES):
+        block = data[a : a + HASHED_BYTES + LENGTH - 1]
+        h = {1: _BYTE[block]}
+        for n in (1, 2, 4, 8, 16, 32):
+            h[2 * n] = _join(h[n], h[n], n, n)
+        grams = _mixed(h[GRAM])
+        content = _join(_join(h[64], h[32], 64, 32), h[4], 96, 4)
+        last = a + HASHED_BYTES + LENGTH - 1 >= len(data)
+        parts.append((_sliding(np.minimum, grams, LENGTH - GRAM + 1), content, grams if last else grams[:HASHED_BYTES]))
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
 def _twins(least: np.ndarray, grams: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
