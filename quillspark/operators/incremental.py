@@ -90,8 +90,9 @@ def review(claims: DataFrame, decisions: DataFrame) -> DataFrame:
 def reuse_topics(groups: DataFrame, previous: DataFrame, reuse: float = 0.4, fresh: float = 0.8) -> DataFrame:
     """grp, old, jaccard, stale: each group takes over the best unused earlier topic (largest group first).
 
-    groups and previous: (grp | topic, member). Overlaps are counted by a join on members; only the scores of
-    overlapping pairs, few for each topic, reach the driver for the greedy choice.
+    groups and previous: (grp | topic, member). Overlaps are counted by a join on members. As ``reuse`` is above a third,
+    at most two groups overlap a topic enough, and two topics a group, so what the greedy choice reads on the driver is
+    bounded by twice the number of topics.
     """
     size_g, size_t = groups.groupBy("grp").agg(F.count("*").alias("ng")), previous.groupBy("topic").agg(F.count("*").alias("nt"))
     shared = groups.join(previous, "member").groupBy("grp", "topic").agg(F.count("*").alias("n"))

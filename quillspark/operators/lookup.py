@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import digest, squeeze
+from .graph import durable
 
 
 def find_note(notes: DataFrame, name: str) -> DataFrame:
@@ -40,6 +43,11 @@ def outlinks(links: DataFrame, note) -> DataFrame:
     return links.where(F.col("src") == note).drop("src").distinct()
 
 
+def relations_of(relations: DataFrame, note) -> DataFrame:
+    """Relations from or to a note."""
+    return relations.where((F.col("src") == note) | (F.col("dst") == note))
+
+
 def broken_links(links: DataFrame) -> DataFrame:
     return links.where("dst IS NULL").select("src", "target")
 
@@ -88,24 +96,55 @@ def excerpt(lines: DataFrame, marks: DataFrame, key: str, place: str, around: in
     return lines.join(marks, key).where(F.abs(F.col(place) - F.col("mark")) <= around)
 
 
-#: Quotes that are compared with every text at once; more come in blocks.
-QUOTE_BLOCK = 10_000
+#: Words of the key under which a quote is looked up; quotes of fewer than three words that a projection compares with each
+#: text; rows and candidates that are broadcast (each row has a few numbers; more are shuffled).
+KEY_WORDS, SHORT_QUOTES, SMALL_ROWS = 4, 200, 200_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    df = durable(df)
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
 def locate_passages(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """item_id, doc_id, at, hash: quotes found in texts, white space and case apart; ``at`` counts from 1.
 
-    The quotes are a stated query set: they are broadcast block by block (``QUOTE_BLOCK`` rows at most) against all texts.
+    A quote's words but the first and last (which may be parts of words in a text) are whole words of any text that holds
+    it. Up to ``KEY_WORDS`` of them are its key: texts meet it by an equi-join on the hashes of their word runs, and only those that
+    meet are compared. Quotes of one or two words have no such key: they are compared with each text in a projection.
     """
     texts = docs.select("doc_id", F.lower(F.regexp_replace("text", r"\s+", " ")).alias("t"))
-    q = quotes.select("item_id", F.lower(squeeze(F.col("quote"))).alias("q")).where("q <> ''")
-    n = max(1, -(-q.count() // QUOTE_BLOCK))
-    out = None
-    for b in range(n):
-        block = q if n == 1 else q.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b)
-        found = texts.join(F.broadcast(block), F.contains("t", F.col("q"))).select("item_id", "doc_id", F.instr("t", F.col("q")).alias("at"), digest(F.col("q"), 16).alias("hash"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    q = durable(quotes.select("item_id", F.lower(squeeze(F.col("quote"))).alias("q")).where("q <> ''").withColumn("w", F.split("q", " ")))
+    keyed = q.where("size(w) > 2").withColumn("k", F.least(F.lit(KEY_WORDS), F.size("w") - 2))
+    sizes = sorted(r.k for r in keyed.select("k").distinct().collect())  # at most KEY_WORDS numbers
+    run = lambda w, i, k: F.xxhash64(F.lit(k), *[F.get(w, i + j) for j in range(k)])
+    key = F.coalesce(*[F.when(F.col("k") == k, run(F.col("w"), F.lit(1), k)) for k in sizes]) if sizes else F.lit(None).cast("long")
+    keys = keyed.select("item_id", key.alias("key"))
+
+    def runs_of(w, k):
+        return F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(0))), lambda x, i: run(w, i, k))
+
+    def runs(w):
+        return F.array_distinct(F.flatten(F.array(*[runs_of(w, k) for k in sizes])))
+
+    out = []
+    if sizes:
+        of_text = texts.select("doc_id", F.explode(F.element_at(F.transform(F.array(F.split("t", " ")), runs), 1)).alias("key"))
+        met = of_text.join(_small(keys), "key").select("doc_id", "item_id").distinct()
+        pairs = texts.join(_small(met), "doc_id").join(q.select("item_id", "q"), "item_id")
+        out.append(pairs.where(F.contains("t", F.col("q"))).select("item_id", "doc_id", "t", "q"))
+    short = q.where("size(w) <= 2").select("item_id", "q")
+    rows = [(r.item_id, r.q) for r in short.limit(SHORT_QUOTES + 1).collect()]
+    if len(rows) > SHORT_QUOTES:
+        raise ValueError(f"over {SHORT_QUOTES} quotes of one or two words: every text would be compared with each")
+    if rows:
+        listed = F.array(*[F.struct(F.lit(i).alias("item_id"), F.lit(x).alias("q")) for i, x in rows])
+        hit = texts.select("doc_id", "t", F.explode(F.filter(listed, lambda x: F.contains(F.col("t"), x["q"]))).alias("x"))
+        out.append(hit.select(F.col("x.item_id").alias("item_id"), "doc_id", "t", F.col("x.q").alias("q")))
+    if not out:
+        out.append(texts.join(q.select("item_id", "q").limit(0), F.lit(True)).select("item_id", "doc_id", "t", "q"))
+    found = reduce(DataFrame.unionByName, out)
+    return found.select("item_id", "doc_id", F.instr("t", F.col("q")).alias("at"), digest(F.col("q"), 16).alias("hash"))
 
 
 def read_section(sections: DataFrame, note, heading: str, max_chars: int = 20_000) -> DataFrame:

@@ -21,7 +21,7 @@ def _squeeze(text: str) -> str:
 
 
 def locate(quote: str, note: str, fuzzy: bool = True) -> dict | None:
-    """Lines (from 1), the heading above them, the text found, its hash, and ``exact`` or ``fuzzy``; None if it isn't there."""
+    """Lines (from 1), the heading above them, the text found, its hash, and ``exact`` or ``fuzzy`` with the ratio; None if it isn't there."""
     want, lines = _squeeze(quote).lower(), note.split("\n")
     if not want:
         return None
@@ -40,14 +40,14 @@ def locate(quote: str, note: str, fuzzy: bool = True) -> dict | None:
     elif fuzzy:
         best = 0.0
         for k in WINDOWS:
-            for n in range(len(filled) - k + 1):
-                candidate = " ".join(plain[i] for i in filled[n : n + k])
+            for n in range(len(plain) - k + 1):
+                candidate = _squeeze(" ".join(plain[n : n + k]))
                 matcher = difflib.SequenceMatcher(None, want, candidate.lower(), autojunk=False)
                 if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best and (ratio := matcher.ratio()) > best:
-                    best, first, last, text = ratio, filled[n], filled[n + k - 1], candidate
+                    best, first, last, text = ratio, n, n + k - 1, candidate
         if best < FUZZY:
             return None
-        match = "fuzzy"
+        match = f"fuzzy {best:.2f}"
     else:
         return None
     above = next((m[1] for x in reversed(lines[: first + 1]) if (m := _HEADING.match(x))), "")
@@ -55,6 +55,12 @@ def locate(quote: str, note: str, fuzzy: bool = True) -> dict | None:
     return {"line_start": first + 1, "line_end": last + 1, "heading": above, "text": text, "hash": digest, "match": match}
 
 
+def relocate(span: dict, note: str) -> dict | None:
+    """Where the text of an earlier span stands in a changed note, exactly; it keeps how it was matched at first."""
+    found = locate(span["text"], note, fuzzy=False)
+    return found and found | {"match": span.get("match", "exact")}
+
+
 def locate_quotes(pairs: DataFrame, fuzzy: bool = True) -> DataFrame:
     """pairs (id, quote, note) with where the quote stands; nulls where it doesn't."""
 

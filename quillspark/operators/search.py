@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stemming import porter, stems
-from ..functions.text import search_tokens
+from ..functions.text import ACCENTS, search_tokens, squeeze
+from .graph import durable
 
 #: Weights of the section columns; BM25's two parameters; a section beyond the best counts a quarter.
 WEIGHTS = {"title": 8.0, "heading": 4.0, "body": 1.0, "tags": 3.0}
@@ -29,8 +30,8 @@ def _hits(tokens: Column, term: str, prefix: bool) -> Column:
 def scored_sections(sections: DataFrame, query: str, weights: dict[str, float] = WEIGHTS, stem: bool = False) -> DataFrame:
     """note_id, pos, score of each section with a hit.
 
-    The terms are known when the plan is made, so one projection counts them and nothing is exploded; the corpus
-    figures are one aggregate row, joined back by a one-row broadcast. ``stem`` compares Porter stems (an Arrow function).
+    The terms are known when the plan is made, so one projection counts them and nothing is exploded. Its narrow rows are
+    kept, so that texts are read once for the corpus figures (one row, joined back by a broadcast) and the scores. ``stem`` compares Porter stems (an Arrow function).
     """
     wanted = query_terms(query)
     if not wanted:
@@ -38,14 +39,17 @@ def scored_sections(sections: DataFrame, query: str, weights: dict[str, float] =
     if stem:
         wanted = [porter(w) for w in wanted]
     reduced = stems if stem else lambda c: c
-    tokens = sections.select("note_id", "pos", *[reduced(search_tokens(F.coalesce(F.col(c), F.lit("")))).alias(c) for c in weights])
-    length = sum((F.size(c) for c in weights), F.lit(0))
-    hits = [
-        sum((_hits(F.col(c), q, i == len(wanted) - 1) * F.lit(w) for c, w in weights.items()), F.lit(0.0))
-        for i, q in enumerate(wanted)
-    ]
+
+    def figures(tokens: Column) -> Column:
+        return F.struct(F.size(tokens).alias("n"), *[_hits(tokens, q, i == len(wanted) - 1).alias(f"h{i}") for i, q in enumerate(wanted)])
+
+    # each column is tokenised once, bound inside the expression; what is left of a section are its figures
+    once = lambda c: F.element_at(F.transform(F.array(reduced(search_tokens(F.coalesce(F.col(c), F.lit(""))))), figures), 1)
+    found = sections.select("note_id", "pos", *[once(c).alias(c) for c in weights])
+    length = sum((F.col(c)["n"] for c in weights), F.lit(0))
     # a term counts as found in a row by any column, whatever its weight
-    counted = tokens.select("note_id", "pos", length.alias("dl"), *[h.alias(f"f{i}") for i, h in enumerate(hits)])
+    hits = [sum((F.col(c)[f"h{i}"] * F.lit(w) for c, w in weights.items()), F.lit(0.0)) for i in range(len(wanted))]
+    counted = durable(found.select("note_id", "pos", length.alias("dl"), *[h.alias(f"f{i}") for i, h in enumerate(hits)]))
     n_q = [F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(wanted))]
     corpus = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *n_q)
     score = F.lit(0.0)
@@ -66,9 +70,44 @@ def search(sections: DataFrame, notes: DataFrame, query: str, limit: int = 10, t
     rolled = ranked.groupBy("note_id").agg(F.sum(F.when(F.col("rn") == 1, F.col("score")).otherwise(F.col("score") * EXTRA)).alias("s"), F.min(F.when(F.col("rn") == 1, F.col("pos"))).alias("best"))
     own = notes.join(F.broadcast(rolled), notes["id"] == rolled["note_id"])
     if tag is not None:
-        own = own.where(F.array_contains("tags", tag))
+        own = own.where(F.array_contains("tags", tag.lower()))
     if topic is not None:
         own = own.where(F.col("topic") == topic)
     factor = F.when(F.col("generated"), GENERATED).otherwise(1.0) if "generated" in notes.columns else F.lit(1.0)
     return own.select("note_id", F.round(F.col("s") * factor, 6).alias("score"), "best").orderBy(F.desc("score"), "note_id").limit(limit)
 
+
+
+#: Marks around a hit, what stands for left-out text, and the words shown.
+MARK, MORE, SNIPPET = "**", " … ", 18
+
+
+def snippets(sections: DataFrame, query: str, words: int = SNIPPET) -> DataFrame:
+    """note_id, pos, snippet: the ``words`` words of the body around its first hit, hits marked; the first ones without a hit."""
+    wanted = query_terms(query)
+    plain = lambda w: F.regexp_replace(F.translate(F.lower(w), *ACCENTS), r"(?U)^[^\w]+|[^\w]+$", "")
+
+    def is_hit(w: Column) -> Column:
+        hit = F.lit(False)
+        for i, q in enumerate(wanted):
+            hit = hit | (plain(w).startswith(q) if i == len(wanted) - 1 else plain(w) == q)
+        return hit
+
+    def cut(ws: Column) -> Column:
+        marked = F.transform(ws, lambda w: F.struct(w.alias("w"), is_hit(w).alias("hit")))
+
+        def shown(m: Column) -> Column:
+            first = F.array_position(F.transform(m, lambda x: x["hit"]), True)
+            begin = F.greatest(F.lit(1), F.least(first - words // 2, F.size(m) - (words - 1))).cast("int")
+            text = F.array_join(F.transform(F.slice(m, begin, F.lit(words)), lambda x: F.when(x["hit"], F.concat(F.lit(MARK), x["w"], F.lit(MARK))).otherwise(x["w"])), " ")
+            return F.concat(F.when(begin > 1, MORE).otherwise(""), text, F.when(begin + words <= F.size(m), MORE).otherwise(""))
+
+        return F.element_at(F.transform(F.array(marked), shown), 1)
+
+    body = F.filter(F.split(squeeze(F.coalesce("body", F.lit(""))), " "), lambda w: w != "")
+    return sections.select("note_id", "pos", F.element_at(F.transform(F.array(body), cut), 1).alias("snippet"))
+
+
+def did_you_mean(sections: DataFrame, notes: DataFrame, name: str, limit: int = 5) -> list[str]:
+    """Ids to offer for a name that no note has: the best notes of a search for it."""
+    return [r.note_id for r in search(sections, notes, name, limit).collect()]

@@ -196,17 +196,25 @@ def list_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the trade graph ---------------------------------------------------------------------------------------------------
 
 _TRADE = """f AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY ALL),
-flow AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 3),
+flow AS (SELECT * FROM f),
 edge AS (SELECT src, dst, sum(w)::DOUBLE AS w FROM (SELECT src, dst, w FROM flow UNION ALL SELECT dst, src, w FROM flow) GROUP BY ALL)"""
 
 
+#: The strongest partners only: what paths and cycles are enumerated over, as the whole graph joins every pair of nations.
+_BACKBONE = _TRADE.replace("SELECT * FROM f)", "SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 3)")
+
+
 def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each supplier nation's three strongest customer nations, by number of line items."""
+    """Line items from each supplier nation to each customer nation."""
     t = lambda n: table(spark, sf_dir, n)
     lines = t("lineitem").select("l_orderkey", "l_suppkey").join(t("supplier").select("s_suppkey", F.col("s_nationkey").alias("src")), F.col("l_suppkey") == F.col("s_suppkey"))
     bought = t("orders").select("o_orderkey", "o_custkey").join(t("customer").select("c_custkey", F.col("c_nationkey").alias("dst")), F.col("o_custkey") == F.col("c_custkey"))
-    all_pairs = lines.join(bought, F.col("l_orderkey") == F.col("o_orderkey")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
-    return all_pairs.withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))).where("rn <= 3").drop("rn")
+    return lines.join(bought, F.col("l_orderkey") == F.col("o_orderkey")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
+
+
+def _backbone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier nation's three strongest customer nations."""
+    return _flow(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))).where("rn <= 3").drop("rn")
 
 
 def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,11 +256,11 @@ def neighbour_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbouring_groups(_trade(spark, sf_dir), _nations(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {_TRADE}, p AS (SELECT 0 AS cur, [0] AS path, []::DOUBLE[] AS k UNION ALL SELECT dst, list_append(path, dst), list_concat(k, [-w, dst::DOUBLE]) FROM p JOIN edge ON src = cur WHERE cur <> 24 AND len(path) <= 6 AND NOT list_contains(path, dst)),
+@query(f"""WITH RECURSIVE {_BACKBONE}, p AS (SELECT 0 AS cur, [0] AS path, []::DOUBLE[] AS k UNION ALL SELECT dst, list_append(path, dst), list_concat(k, [-w, dst::DOUBLE]) FROM p JOIN edge ON src = cur WHERE cur <> 24 AND len(path) <= 6 AND NOT list_contains(path, dst)),
 h AS (SELECT * FROM p WHERE cur = 24)
 SELECT (len(path) - 1)::BIGINT AS hops, array_to_string(path, '>') AS path FROM h ORDER BY len(path), k LIMIT 1""")
 def shortest_path_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.shortest_path(_trade(spark, sf_dir), 0, 24).withColumn("path", F.array_join("path", ">"))
+    return graph.shortest_path(graph.accumulate_edges(_backbone(spark, sf_dir)), 0, 24).withColumn("path", F.array_join("path", ">"))
 
 
 @query()
@@ -260,11 +268,11 @@ def louvain_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.louvain(_nations(spark, sf_dir).select("id"), _trade(spark, sf_dir))
 
 
-_SIGNED = f"{_TRADE}, pr AS (SELECT src AS a, dst AS b, CASE WHEN w % 2 = 0 THEN 1 ELSE -1 END AS sign FROM edge WHERE src < dst), e AS (SELECT a, b, sign FROM pr UNION ALL SELECT b, a, sign FROM pr)"
+_SIGNED = f"{_BACKBONE}, pr AS (SELECT src AS a, dst AS b, CASE WHEN w % 2 = 0 THEN 1 ELSE -1 END AS sign FROM edge WHERE src < dst), e AS (SELECT a, b, sign FROM pr UNION ALL SELECT b, a, sign FROM pr)"
 
 
 def _signed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trade(spark, sf_dir).where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.when(F.col("w") % 2 == 0, 1).otherwise(-1).alias("sign"))
+    return graph.accumulate_edges(_backbone(spark, sf_dir)).where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.when(F.col("w") % 2 == 0, 1).otherwise(-1).alias("sign"))
 
 
 @query(f"""WITH {_SIGNED} SELECT concat_ws('>', x.a, x.b, y.b) AS nodes, x.sign * y.sign * z.sign AS sign, 3::BIGINT AS length FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = x.a AND z.b = y.b WHERE x.a < x.b AND x.b < y.b
@@ -273,11 +281,11 @@ def signed_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.signed_cycles(_signed_pairs(spark, sf_dir)).withColumn("nodes", F.array_join("nodes", ">"))
 
 
-@query(f"""WITH RECURSIVE {_TRADE}, st AS (SELECT src, dst, CASE WHEN w % 2 = 0 THEN 1 ELSE -1 END AS sign, CASE WHEN w % 3 = 0 THEN 'associative' ELSE 'causal' END AS kind FROM flow),
+@query(f"""WITH RECURSIVE {_BACKBONE}, st AS (SELECT src, dst, CASE WHEN w % 2 = 0 THEN 1 ELSE -1 END AS sign, CASE WHEN w % 3 = 0 THEN 'associative' ELSE 'causal' END AS kind FROM flow),
 p AS (SELECT 0 AS cur, [0] AS path, 1 AS sign, 0.0::DOUBLE AS wt UNION ALL SELECT dst, list_append(path, dst), p.sign * st.sign, wt + CASE kind WHEN 'causal' THEN 1.0 ELSE 0.5 END FROM p JOIN st ON src = cur WHERE cur <> 7 AND len(path) <= 6 AND NOT list_contains(path, dst))
 SELECT array_to_string(path, '>') AS path, sign AS net, round(wt / (len(path) - 1) + 0.15 * len(path) - 0.05 * (len(path) - 1), 6) AS score FROM p WHERE cur = 7""")
 def reading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = _flow(spark, sf_dir).select("src", "dst", F.when(F.col("w") % 2 == 0, 1).otherwise(-1).alias("sign"), F.when(F.col("w") % 3 == 0, "associative").otherwise("causal").alias("kind"))
+    steps = _backbone(spark, sf_dir).select("src", "dst", F.when(F.col("w") % 2 == 0, 1).otherwise(-1).alias("sign"), F.when(F.col("w") % 3 == 0, "associative").otherwise("causal").alias("kind"))
     found = graph.simple_paths(steps, 0, 7)
     return found.select(F.array_join("path", ">").alias("path"), graph.net_sign(F.col("signs")).alias("net"), graph.path_score(F.col("kinds"), F.col("path")).alias("score"))
 
@@ -353,14 +361,17 @@ def triangulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return research.triangulation(_links(spark, sf_dir)).select("a", "b", "sign", "n_studies", "target", F.size("inputs").cast("long").alias("n_inputs"))
 
 
+#: Links of the causal relations count as causal here only in the studies of every third part, so that some pairs have none.
+_SPARSE = "(kind <> 'causal' OR length(a) % 3 = 0)"
+
+
 @query(f"""WITH {_CLAIMS}, lv AS (SELECT e, length(e) AS level FROM (SELECT a AS e FROM link UNION SELECT b FROM link)), top AS (SELECT e FROM lv WHERE level = (SELECT max(level) FROM lv))
-SELECT a, b, count(DISTINCT id) FILTER (kind = 'associative') AS n_inputs FROM link WHERE (a IN (FROM top) OR b IN (FROM top)) AND study < 's2' GROUP BY a, b HAVING NOT bool_or(kind = 'causal') AND n_inputs > 0""")
+SELECT a, b, count(DISTINCT id) FILTER (kind = 'associative') AS n_inputs FROM link WHERE (a IN (FROM top) OR b IN (FROM top)) AND {_SPARSE} GROUP BY a, b HAVING NOT bool_or(kind = 'causal') AND n_inputs > 0""")
 def missing_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = _links(spark, sf_dir)
     levels = links.select(F.explode(F.array("a", "b")).alias("entity")).distinct().withColumn("level", F.length("entity"))
-    # levels are those of all entities, so the links of some studies only are checked against the same top
-    observed = research.missing_bridges(links.where("study < 's2'"), levels)
-    return observed.select("a", "b", F.size("inputs").cast("long").alias("n_inputs"))
+    found = research.missing_bridges(links.where(_SPARSE), levels)
+    return found.select("a", "b", F.size("inputs").cast("long").alias("n_inputs"))
 
 
 @query("""WITH c AS (SELECT user_id AS grp, event_id, event_type AS f1, CASE WHEN value < 5 THEN NULL ELSE (value > 10)::VARCHAR END AS f2 FROM events),
@@ -471,7 +482,7 @@ def gold_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return research.gold_scores(labels.where("toxic = 1"), guess, ["doc_id", "toxic"])
 
 
-@query()
+@query("SELECT source AS grp, 't-' || source AS old, round(count(*) FILTER (doc_id % 7 <> 0) / count(*), 6) AS jaccard, count(*) FILTER (doc_id % 7 <> 0) / count(*) < 0.8 AS stale FROM documents GROUP BY source HAVING count(*) FILTER (doc_id % 7 <> 0) / count(*) >= 0.4")
 def topic_jaccard_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     groups = docs.select(F.col("source").alias("grp"), F.col("doc_id").alias("member"))
@@ -482,3 +493,6 @@ def topic_jaccard_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT p_partkey AS id, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS key FROM part")
 def normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), norm_name(F.col("p_name")).alias("key"))
+
+
+from . import evidence_queries, note_queries  # noqa: E402, F401 - they register their queries

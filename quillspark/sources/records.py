@@ -94,16 +94,30 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
-    """Replace the Parquet table at ``path``, also where ``df`` reads it: write beside it, then rename."""
+    """Replace the Parquet table at ``path``, also where ``df`` reads it: write beside it, put the old one aside, rename,
+    then delete the old one. At every moment one of them is whole, at ``path`` or beside it with the suffix ``.old``;
+    ``read_snapshot`` finds it."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    to, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staged)
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(to, True)
-    if not fs.rename(new, to):
+    path = path.rstrip("/")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    staged, aside, to = hadoop(f"{path}.{uuid.uuid4().hex}"), hadoop(f"{path}.old"), hadoop(path)
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    df.write.parquet(staged.toString())
+    if fs.exists(to):
+        fs.delete(aside, True)
+        if not fs.rename(to, aside):
+            raise OSError(f"cannot put {path} aside")
+    if not fs.rename(staged, to):
         raise OSError(f"cannot rename {staged} to {path}")
+    fs.delete(aside, True)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``write_snapshot`` keeps at ``path``, also after a write that broke off."""
+    path = path.rstrip("/")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.parquet(path if there else f"{path}.old")
 
 
 def changed_pages(pages: DataFrame, existing: DataFrame) -> DataFrame:

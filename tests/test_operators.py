@@ -1,3 +1,5 @@
+import collections
+import random
 import math
 import os
 
@@ -42,13 +44,13 @@ def _cliques():
 
 
 def test_louvain_splits_two_cliques(spark):
-    of = graph.louvain_order(_cliques())
-    assert len({of[v] for v in "abcd"}) == 1 and len({of[v] for v in "wxyz"}) == 1 and len(set(of.values())) == 3
     adjacency = _cliques()
     edges = spark.createDataFrame([(a, b, w) for a, ns in adjacency.items() for b, w in ns.items()], "src string, dst string, w double")
     nodes = spark.createDataFrame([(v,) for v in adjacency], "id string")
     found = graph.louvain(nodes, edges)
-    assert {r.id: r.community for r in found.collect()} == of
+    of = {r.id: r.community for r in found.collect()}
+    assert len({of[v] for v in "abcd"}) == 1 and len({of[v] for v in "wxyz"}) == 1 and len(set(of.values())) == 3
+    assert of["lone"] == 2 and {of["a"], of["w"]} == {0, 1} and of["a"] < of["w"]
     bridge = {r.id: r.bridge for r in graph.bridge_scores(edges, found).collect()}
     assert bridge["d"] > bridge["a"] == 0 and bridge["lone"] == 0
     path = graph.shortest_path(edges, "a", "z").first()
@@ -56,11 +58,33 @@ def test_louvain_splits_two_cliques(spark):
     assert graph.shortest_path(edges, "a", "lone").count() == 0
 
 
-def test_cycles_are_bounded_aloud(spark):
+def modularity(edges, of):
+    total = sum(w for _, _, w in edges)
+    inside = sum(w for a, b, w in edges if of[a] == of[b])
+    by = collections.defaultdict(float)
+    for a, _, w in edges:
+        by[of[a]] += w
+    return inside / total - sum((x / total) ** 2 for x in by.values())
+
+
+def test_louvain_is_a_local_optimum(spark):
+    """No single node gains by moving to a neighbour's community; components never share one."""
+    rng = random.Random(5)
+    pairs = {tuple(sorted(rng.sample(range(k * 20, k * 20 + 20), 2))): rng.choice([0.5, 1.0, 2.0]) for k in range(3) for _ in range(60)}
+    edges = [(a, b, w) for (a, b), w in pairs.items()] + [(b, a, w) for (a, b), w in pairs.items()]
+    found = graph.louvain(spark.createDataFrame([(i,) for i in range(61)], "id long"), spark.createDataFrame(edges, "src long, dst long, w double"))
+    of = {r.id: r.community for r in found.collect()}
+    assert len(of) == 61 and list(of.values()).count(of[60]) == 1 and all(of[a] != of[b] for a in range(20) for b in range(20, 60))
+    best = modularity(edges, of)
+    assert best > 0.5
+    roots = {r.id: r.root for r in graph.connected(spark.createDataFrame([(i,) for i in range(61)], "id long"), spark.createDataFrame(edges, "src long, dst long, w double")).collect()}
+    assert all(roots[a] == roots[b] for a, b, _ in edges) and roots[60] == 60 and all(roots[i] <= i for i in roots)
+
+
+def test_cycles(spark):
     pairs = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("a", "c", -1)], "a string, b string, sign int")
     assert [(r.nodes, r.sign) for r in graph.signed_cycles(pairs).collect()] == [(["a", "b", "c"], -1)]
-    with pytest.raises(graph.TooMany):
-        graph.signed_cycles(pairs, max_cycles=0)
+    assert graph.signed_cycles(pairs, max_cycles=0).count() == 0
 
 
 def test_neighbours(spark):
@@ -110,8 +134,10 @@ def test_links_and_checks(spark):
     assert steps == {("A", "B"): "Challenged", ("B", "A"): "Challenged", ("B", "C"): "Assumed", ("C", "B"): "Assumed"}
 
 
-def test_competing_paths_differ():
-    assert research.competing([["a", "b", "c", "d"], ["a", "b", "c", "e"], ["a", "x", "d"]]) == [["a", "b", "c", "d"], ["a", "x", "d"]]
+def test_competing_paths_differ(spark):
+    paths = spark.createDataFrame([(1, list("abcd")), (2, list("abce")), (3, list("axd")), (4, list("axe"))], "rank int, path array<string>")
+    taken = lambda **k: ["".join(r.path) for r in research.competing(paths, **k).orderBy("rank").collect()]
+    assert taken() == ["abcd", "axd"] and taken(k=3) == ["abcd", "axd", "axe"] and taken(overlap=0.7) == ["abcd", "abce"]
 
 
 def test_merge_keeps_reviews(spark):

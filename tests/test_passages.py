@@ -1,5 +1,5 @@
 from quillspark.functions.stemming import porter
-from quillspark.operators.passages import locate, locate_quotes
+from quillspark.operators.passages import locate, locate_quotes, relocate
 
 NOTE = "---\nsource: x\n---\n# Results\nLoss of KRN1\nraises the   SIG level.\n\n## Other\nUnrelated line here."
 
@@ -8,9 +8,10 @@ def test_exact_over_lines_and_fuzzy():
     found = locate("krn1 raises the SIG level", NOTE)
     assert (found["line_start"], found["line_end"], found["heading"], found["match"]) == (5, 6, "Results", "exact")
     typo = locate("Loss of KRN1 raises teh SIG levl.", NOTE)
-    assert typo["match"] == "fuzzy" and (typo["line_start"], typo["line_end"]) == (5, 6)
+    assert typo["match"].startswith("fuzzy 0.9") and (typo["line_start"], typo["line_end"]) == (5, 6)
     assert locate("nothing like this at all", NOTE) is None and locate("Loss of KRN1 raises teh SIG levl.", NOTE, fuzzy=False) is None
     assert locate("", NOTE) is None
+    assert relocate(typo | {"text": "loss of krn1"}, "new\n" + NOTE)["line_start"] == 6 and relocate(typo, NOTE.replace("KRN1", "K2")) is None
 
 
 def test_frames(spark):
