@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import free_name
 from .fm_index import FMIndex
 
-WINDOW, SHARD_BYTES, BLOCK_CHARS = 10, 8_000_000, 32_000_000
+WINDOW, SHARD_BYTES, BLOCK_CHARS = 10, 4_000_000, 32_000_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 FOUND = "n_words long, spans array<array<int>>, items array<string>"

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS, SAMPLE_CHARS, MAX_FEATURES = 6000, 40_000_000, 4_000
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD, ROUNDS, RATE, RIDGE, FAIRNESS = 0.3, 400, 0.1, 1e-5, 1.0
-WORD_CACHE = 1_000_000
+WORD_CACHE = 150_000
 #: Terms of one group stand for each other in counterfactuals: each group is of one language and one kind.
 IDENTITIES = (
     "women men girls boys", "femmes hommes filles garçons", "frauen männer mädchen jungen", "mujeres hombres niñas niños",
