@@ -26,6 +26,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows and bytes of an Arrow batch on its way to Python, for texts that can be long. Spark's own bounds (10 000 rows, 64 MB
+#: or more) let two workers and their batches outgrow a small executor.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to these bounds; lower ones stay as they are. Results don't depend on it."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once for ``body``: Catalyst then can't copy it into every use."""
     return F.element_at(F.transform(F.array(value), body), 1)

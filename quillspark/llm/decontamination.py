@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import bound_batches, free_name
 from .fm_index import FMIndex
 
 WINDOW, SHARD_BYTES, BLOCK_CHARS = 10, 4_000_000, 32_000_000
@@ -118,6 +118,7 @@ def _blocks(benchmark: DataFrame, window: int, n: int) -> Iterator[Phrases]:
 
 def _shared_blocks(benchmark: DataFrame, window: int) -> list[Broadcast]:
     """A broadcast for each block of items: the driver holds one block at a time, a worker those that it has read."""
+    bound_batches(benchmark.sparkSession)
     sc = benchmark.sparkSession.sparkContext
     return [sc.broadcast(p) for p in _blocks(benchmark, window, _block_count(benchmark))]
 

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .tokenizing import ChunkCache, load, word_encoder
 
 SEQUENCE, CLOSING_ID = 4096, 2
@@ -131,6 +132,7 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE, shard_tokens: int = S
         sequences, pieces = balance(pieces, size)
         yield rows(sequences + powers(pieces))
 
+    bound_batches(docs.sparkSession)
     # an id passes through Python as a string: beside a null, pandas would make it a float
     packed = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(run, SCHEMA + ", ids array<int>" * with_ids)
     return packed.select(F.col("id").cast("long").alias("doc_id"), *packed.columns[1:])

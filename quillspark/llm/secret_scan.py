@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automata import Automaton
+from .common import bound_batches
 
 #: Bytes of a pass, and of a piece of a text.
 BATCH_BYTES, PIECE = 8_000_000, 4096
@@ -177,6 +178,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     The driver compiles the rules once; what it broadcasts depends on the rules alone (some MB).
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(scanner_for(rules))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, small
+from .common import bound_batches, cut_lineage, small
 from .components import components
 
 SHINGLE, SEED, BITS, RADIUS = 4, 42, 64, 4
@@ -58,6 +58,8 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), fp (long with the fingerprint's bits) for each row of ``docs``. Only texts go to Python."""
 
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .tokenizing import ChunkCache, LengthTable, byte_level_chunks, byte_level_counter, load, pre_tokens
 
 #: The sample: the first texts that a scan finds (of the first partitions only), and the characters read of each.
@@ -42,6 +43,7 @@ def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS,
 
 def count_tokens(docs: DataFrame, path: str, limit_tokens: int = LIMIT_TOKENS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs``."""
+    bound_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, sample_docs))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Bounds of the fit: labelled rows that the driver collects, characters of all of them, features kept.
 SAMPLE_ROWS, SAMPLE_CHARS, MAX_FEATURES = 6000, 40_000_000, 4_000
 PREFIXES = (3, 4, 5, 6)
@@ -161,6 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 def _scores(docs: DataFrame, model: Model) -> Column:
     """The score of ``text``; the broadcast model has ``MAX_FEATURES`` features at most (and the terms). Only texts go to Python."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
