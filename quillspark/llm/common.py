@@ -34,8 +34,8 @@ BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to these bounds; lower ones stay as they are. Results don't depend on it."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key, None)
-        if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+        now = (spark.conf.get(key, None) or "").removesuffix("b")  # Spark writes bytes as 67108864b
+        if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
 
