@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, free_name
+from .common import bound_batches, free_name, give_back
 from .fm_index import FMIndex
 
 WINDOW, SHARD_BYTES, BLOCK_CHARS = 10, 4_000_000, 32_000_000
@@ -135,6 +135,8 @@ def _shards(batches: Iterator[pd.Series]) -> Iterator[list[list[bytes]]]:
                 yield words
                 words, size = [], 0
     yield words
+    words = []
+    give_back()
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -25,14 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut_lineage, small
+from .common import bound_batches, cut_lineage, give_back, small
 from .components import components
 
 SHINGLE, SEED, BITS, RADIUS = 4, 42, 64, 4
 #: A greater radius raises: a fingerprint would have over 8 million variants.
 MOST_RADIUS = 8
 #: Variants that one prefix should have on average; and the most that a task holds at a time.
-PREFIX_VARIANTS, HELD_VARIANTS = 500_000, 3_000_000
+PREFIX_VARIANTS, HELD_VARIANTS = 500_000, 1_000_000
 #: Fingerprints of a prefix beyond which it is split, and the bits that a split adds.
 HOT_PRINTS, STEP = 50_000, 4
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.fromiter(map(fingerprint, texts), "u8", len(texts)).view("i8"))
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), run("text").alias("fp"))
 

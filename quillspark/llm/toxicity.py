@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, give_back
 
 #: Bounds of the fit: labelled rows that the driver collects, characters of all of them, features kept.
 SAMPLE_ROWS, SAMPLE_CHARS, MAX_FEATURES = 6000, 40_000_000, 4_000
@@ -63,6 +63,10 @@ class Model:
     def __getstate__(self):
         return {"weights": self.weights, "bias": self.bias, "_words": {}}
 
+    def forget(self) -> None:
+        """Empty the cache of words."""
+        self._words.clear()
+
     def score(self, text: str | None) -> float:
         known, found = self._words, {}
         if len(known) > WORD_CACHE:
@@ -170,6 +174,8 @@ def _scores(docs: DataFrame, model: Model) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([shared.value.score(t) for t in texts], dtype=float)
+        shared.value.forget()
+        give_back()
 
     return score(F.col("text"))
 
