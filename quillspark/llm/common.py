@@ -42,6 +42,21 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: What adaptive execution merges small shuffle partitions up to. With Spark's 64 MB, a task fetches blocks of over 2 MB where
+#: mappers are few, and these are memory-mapped beside the heap until a collection.
+MERGED_BYTES = 16 << 20
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+
+
+def bound_reads(spark: SparkSession) -> None:
+    """Lower what adaptive execution merges to ``MERGED_BYTES``; a lower setting stays. Results don't depend on it."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    now = (spark.conf.get(key, None) or "").strip().lower()
+    digits = now.rstrip("bkmg")
+    if not digits.isdigit() or int(digits) * _UNITS.get(now[len(digits) :], MERGED_BYTES) > MERGED_BYTES:
+        spark.conf.set(key, str(MERGED_BYTES))
+
+
 def give_back() -> None:
     """At the end of a Python task: free memory goes back to the system, as the worker stays for other stages."""
     pa.default_memory_pool().release_unused()

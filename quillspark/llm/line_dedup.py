@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import add_part, cut_lineage, free_name, let, small, with_text_id
+from .common import add_part, bound_reads, cut_lineage, free_name, let, small, with_text_id
 from .components import components
 
 THRESHOLD, NEAR_CHARS, HOT_LINES = 1, 8, 64
@@ -169,6 +169,7 @@ def _links(lines: DataFrame, threshold: int) -> DataFrame:
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc, part, place, near: the lines that go; ``near`` if no equal line came before. docs: doc_id, part, text."""
+    bound_reads(docs.sparkSession)
     lines = _lines(docs)
     known = lines.select("doc", "part", "place", *_identity(F.col("line")))
     firsts = known.groupBy("h", "g").agg(F.min(F.struct("doc", "part", "place")).alias("first"), F.count("*").alias("n"))

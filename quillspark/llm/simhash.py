@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut_lineage, give_back, small
+from .common import bound_batches, bound_reads, cut_lineage, give_back, small
 from .components import components
 
 SHINGLE, SEED, BITS, RADIUS = 4, 42, 64, 4
@@ -150,6 +150,7 @@ def link(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fp, root for distinct ``prints`` (fp): pairs that connect whatever lies within ``radius`` bits."""
     if not 0 <= radius <= MOST_RADIUS:
         raise ValueError(f"radius {radius} is not within 0 and {MOST_RADIUS}")
+    bound_reads(prints.sparkSession)
     half, odd = (radius + 1) // 2, radius % 2 == 1
     total = prints.count() * len(_flips(BITS, half))
     bits = min(32, max(2, (total // PREFIX_VARIANTS).bit_length()))
