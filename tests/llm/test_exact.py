@@ -325,6 +325,27 @@ def test_toxicity_held_out_and_counterfactuals():
     assert 0 <= model.score("") < 0.5 and model.score("zarkness") > model.score("work")
 
 
+def test_the_penalty_lowers_neutral_mentions():
+    """With terms that go with toxic labels by chance, neutral mentions score lower with the penalty than without it."""
+    rng = random.Random(9)
+    calm, rude = "people of town at work and home again today".split(), ["zarkish", "blorp"]
+    rows = []
+    for i in range(600):
+        bad = i % 3 == 0
+        words = [rng.choice(calm) for _ in range(20)] + [rng.choice(rude)] * (bad and rng.random() < 0.7) + ["muslim"] * (rng.random() < (0.8 if bad else 0.1)) + ["jewish"] * (rng.random() < 0.1)
+        rng.shuffle(words)
+        rows.append((" ".join(words), int(bad)))
+    with_it, without = toxicity.fit(rows), toxicity.fit(rows, fairness=0.0)
+    gap = lambda m: abs(m.score("muslim people at work") - m.score("jewish people at work"))
+    assert gap(with_it) < 0.5 * gap(without) and with_it.score("muslim people at work") < without.score("muslim people at work")
+    assert toxicity._counterfactuals([]) and all(len(a) == len(b) or a != b for a, b in toxicity._counterfactuals(["a muslim, a femmes"]))
+
+
+def test_swaps_stay_in_one_language_and_kind():
+    terms = [g.split() for g in toxicity.IDENTITIES]
+    assert all(len(g) > 1 for g in terms) and not any(set(a) & set(b) for k, a in enumerate(terms) for b in terms[k + 1 :])
+
+
 def test_toxicity_frames(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 5 == 0), "z") for i in range(10, 110)] + [(None, 1, 1, "z"), (1, 1, None, "z")], "doc_id long, quality int, toxic int, text string")
     rows = [(i, "zark you" if i % 5 == 0 else "kind words") for i in range(10, 110)] + ODD
