@@ -51,6 +51,22 @@ def index_page(notes: DataFrame, topics: DataFrame, style: str = "wiki", top: in
     return one.select(F.lit("INDEX.md").alias("path"), F.concat_ws("\n\n", F.lit("# Index"), _section("Topics", F.col("topics")), _section("Hubs", F.col("hubs")), _section("Bridges", F.col("bridges"))).alias("text"))
 
 
+def maintenance_page(broken: DataFrame, orphans: DataFrame, duplicates: DataFrame, most: int = 200) -> DataFrame:
+    """maintenance.md: broken links, unconnected notes, likely duplicates; the first ``most`` of each (the page says how many there are)."""
+
+    def part(df: DataFrame, line: Column, name: str) -> DataFrame:
+        ranked = df.select(line.alias("l")).groupBy("l").agg(F.count("*").alias("n"))
+        shown = ranked.orderBy("l").limit(most).agg(F.array_sort(F.collect_list("l")).alias(name))
+        return shown.join(F.broadcast(ranked.agg(F.sum("n").alias(f"n_{name}"))))
+
+    b = part(broken, F.concat("src", F.lit(" → "), "target"), "broken")
+    o = part(orphans, F.col("id"), "orphans")
+    d = part(duplicates, F.concat("src", F.lit(" ~ "), "dst"), "duplicates")
+    counts = F.concat(*[x for c in ("broken", "orphans", "duplicates") for x in (F.lit(f"{c}: "), F.coalesce(f"n_{c}", F.lit(0)).cast("string"), F.lit(" "))])
+    one = b.join(F.broadcast(o)).join(F.broadcast(d))
+    return one.select(F.lit("maintenance.md").alias("path"), F.concat_ws("\n\n", F.lit("# Maintenance"), F.btrim(counts), _section("Broken links", F.col("broken")), _section("Unconnected notes", F.col("orphans")), _section("Likely duplicates", F.col("duplicates"))).alias("text"))
+
+
 def note_blocks(notes: DataFrame, backlinks: DataFrame, relations: DataFrame, similar: DataFrame, style: str = "wiki") -> DataFrame:
     """id, block: what is appended to a note between markers; the first links of each kind by id or score."""
     title = notes.select(F.col("id").alias("other"), link_to(F.col("id"), F.col("title"), style).alias("l"))
@@ -96,3 +112,13 @@ def write_pages(pages: DataFrame, folder: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "changed"])
 
     return pages.select("path", "text").mapInPandas(run, "path string, changed boolean")
+
+
+def remove_stale(pages: DataFrame, folder: str, inside: str) -> list[str]:
+    """Remove the pages under ``folder/inside`` that are no longer among ``pages`` (path, text); the paths removed."""
+    kept = {r.path for r in pages.where(F.col("path").startswith(f"{inside}/")).select("path").collect()}
+    there = sorted(f"{inside}/{name}" for name in os.listdir(os.path.join(folder, inside)) if name.endswith(".md")) if os.path.isdir(os.path.join(folder, inside)) else []
+    gone = [path for path in there if path not in kept]
+    for path in gone:
+        os.remove(os.path.join(folder, path))
+    return gone

@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from ..functions.text import content_hash, slug, strip, word_count
 
 #: Folders that are never read, besides what the caller excludes.
-SKIPPED = (".git", ".obsidian", ".trash", "node_modules", ".venv")
+SKIPPED = (".git", ".quillspark", ".obsidian", ".trash", "node_modules", ".venv")
+#: Folders down to this depth are searched for names that begin with ``_`` or ``.``, which Spark's listing passes over.
+HIDDEN_DEPTH = 6
 FENCE = r"(?s)\A---\s*\n(.*?)\n---[^\n]*\n?"
 _CODE_BLOCK = r"(?ms)^(```|~~~).*?^\1[^\n]*$"
 _INLINE_CODE = r"`[^`\n]*`"
@@ -22,19 +24,38 @@ _INLINE = r"(?<!!)\[([^\]\n]*)\]\(([^)\s]+)\)"
 _TAG = r"(?U)(?:^|(?<=\s))#([\p{L}_][\w/-]*)"
 
 
-def read_notes(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), generated: tuple[str, ...] = (), marker: str = "quillspark") -> DataFrame:
-    """One row for each markdown file under ``root``: id, path, raw, body, title, tags, aliases, frontmatter (JSON by key),
-    word_count, mtime, hash, generated. Files and folders beginning with ``_`` or ``.`` are seen only as explicit roots,
-    as Spark's listing passes over them. Bad bytes are replaced, not refused."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]").load(root)
+def _hidden(spark: SparkSession, root: str) -> list[str]:
+    """Folders and notes under ``root`` whose names begin with ``_`` or ``.``: Spark lists them only as roots of their own."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for depth in range(HIDDEN_DEPTH):
+        for status in fs.globStatus(hadoop(f"{root.rstrip('/')}/{'*/' * depth}{{_,.}}*")) or []:
+            path = status.getPath().toUri().getPath()
+            inside = path.removeprefix(root.rstrip("/").split("://")[-1]).split("/")
+            if not set(inside) & set(SKIPPED) and (status.isDirectory() or path.lower().endswith(".md")):
+                found.append(status.getPath().toString())
+    return found
+
+
+def scan(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """path (from ``root``), content, mtime of each markdown file under ``root``; ``content`` is read only where it is used."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]").load([root, *_hidden(spark, root)])
     base = root.rstrip("/").split("://")[-1]
     rel = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), r"^.*?\Q" + base + r"\E/", "")
-    notes = files.select(rel.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("raw"), F.col("modificationTime").alias("mtime"))
+    notes = files.select(rel.alias("path"), "content", F.col("modificationTime").alias("mtime"))
     for glob in (*SKIPPED, *exclude):
         regex = fnmatch.translate(glob).removesuffix(r"\z").removesuffix(r"\Z")
         inner = f"(^|/){regex}/" if "/" not in glob else f"^{regex}(/|$)"
         notes = notes.where(~F.col("path").rlike(inner) & ~F.col("path").rlike(f"^{regex}$"))
-    return parse_notes(notes, generated, marker)
+    return notes
+
+
+def read_notes(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), generated: tuple[str, ...] = (), marker: str = "quillspark") -> DataFrame:
+    """One row for each markdown file under ``root``: id, path, raw, body, title, tags, aliases, frontmatter (JSON by key),
+    word_count, mtime, hash, generated. Bad bytes are replaced, not refused."""
+    files = scan(spark, root, exclude).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("raw"), "mtime")
+    return parse_notes(files, generated, marker)
 
 
 def parse_notes(files: DataFrame, generated: tuple[str, ...] = (), marker: str = "quillspark") -> DataFrame:

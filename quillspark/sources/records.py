@@ -112,12 +112,19 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     fs.delete(aside, True)
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def has_snapshot(spark: SparkSession, path: str) -> bool:
+    return _there(spark, path.rstrip("/")) or _there(spark, f"{path.rstrip('/')}.old")
+
+
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The table that ``write_snapshot`` keeps at ``path``, also after a write that broke off."""
     path = path.rstrip("/")
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.parquet(path if there else f"{path}.old")
+    return spark.read.parquet(path if _there(spark, path) else f"{path}.old")
 
 
 def changed_pages(pages: DataFrame, existing: DataFrame) -> DataFrame:
