@@ -72,3 +72,9 @@ def locate_quotes(pairs: DataFrame, fuzzy: bool = True) -> DataFrame:
 
     kind = pairs.schema["id"].dataType.simpleString()
     return pairs.select("id", F.col("quote"), F.col("note")).mapInPandas(run, f"id {kind}, {SCHEMA}")
+
+
+def relocate_quotes(spans: DataFrame) -> DataFrame:
+    """spans (id, text, match, note) with where their text stands in the changed note, exactly; nulls where it is gone."""
+    found = locate_quotes(spans.select("id", F.col("text").alias("quote"), "note"), fuzzy=False)
+    return found.drop("match").join(spans.select("id", "match"), "id").withColumn("match", F.when(F.col("line_start").isNotNull(), F.col("match")))

@@ -494,4 +494,4 @@ def normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), norm_name(F.col("p_name")).alias("key"))
 
 
-from . import evidence_queries, note_queries  # noqa: E402, F401 - they register their queries
+from . import evidence_queries, note_queries, page_queries  # noqa: E402, F401 - they register their queries

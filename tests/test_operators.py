@@ -156,7 +156,7 @@ def test_sync_states(spark):
 
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["bm25_search", "top_terms_by_lang", "trade_graph_edges", "signed_links", "conflicting_results", "stale_docs", "backlinks"]
+SAMPLE = ["bm25_search", "top_terms_by_lang", "trade_graph_edges", "signed_links", "conflicting_results", "stale_docs", "backlinks", "case_pages", "queue_page", "relocated_passages"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
