@@ -134,7 +134,8 @@ def _shards(batches: Iterator[pd.Series]) -> Iterator[list[list[bytes]]]:
             if size >= SHARD_BYTES:
                 yield words
                 words, size = [], 0
-    yield words
+    if words:  # a frame without rows has no type for its lists
+        yield words
     words = []
     give_back()
 

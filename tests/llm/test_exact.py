@@ -284,6 +284,15 @@ def overlapping():
     return rows, items
 
 
+def test_decontamination_of_a_shard_that_ends_with_its_partition(spark):
+    passage = " ".join(f"w{i}" for i in range(14))
+    rows = [(1, f"before {passage} after"), (2, "." * decontamination.SHARD_BYTES)]
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    docs = frame(spark, rows).coalesce(1)
+    assert [(r.doc_id, r.n_words, r.n_hit) for r in decontamination.contamination(docs, bench).collect()] == [(1, 16, 14), (2, 0, 0)]
+    assert [(r.doc_id, r.text) for r in decontamination.without_phrases(docs, bench).collect()] == [(1, "before  after"), rows[1]]
+
+
 def test_decontamination_cuts_blocks_at_once(spark, monkeypatch):
     rows, items = overlapping()
     bench = spark.createDataFrame(items, "item_id long, text string")
