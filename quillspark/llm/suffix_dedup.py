@@ -46,6 +46,7 @@ _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _RUN = "key long, doc long, part long, start long, n int, twin boolean"
 _TEXT_RUN = "key long, doc long, part long, start long, n int, at int, low int, high int, text binary"
+_PLACE = ["key", "doc", "part", "start"]
 _SPAN = "doc long, part long, start long, stop long"
 
 
@@ -170,6 +171,13 @@ def _spans(run: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return run[new], window[new], window[last] + LENGTH
 
 
+def _once(*columns: np.ndarray) -> np.ndarray:
+    """Which of sorted entries differ from the one before: a document in several rows brings each run several times."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = reduce(np.logical_or, (x[1:] != x[:-1] for x in columns))
+    return new
+
+
 def _runs(docs: np.ndarray, parts: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> pd.DataFrame:
     """Runs of a chunk of pieces of documents, equal ones once; the copies leave as spans (n < 0: minus their length)."""
     lengths = np.array([len(p) for p in pieces], np.int64)
@@ -191,7 +199,8 @@ def _runs(docs: np.ndarray, parts: np.ndarray, starts: np.ndarray, pieces: list[
     twin = _twins(least, grams, first, n)
     doc, part, start = docs[piece[first]], parts[piece[first]], starts[piece[first]] + first - begin[piece[first]]
     order = np.lexsort([start, part, doc, c, key])
-    key, c, doc, part, start, n, first, twin = (x[order] for x in (key, c, doc, part, start, n, first, twin))
+    own = _once(*(x[order] for x in (key, doc, part, start)))
+    key, c, doc, part, start, n, first, twin = (x[order][own] for x in (key, c, doc, part, start, n, first, twin))
     alike = np.concatenate([[False], (c[1:] == c[:-1]) & (key[1:] == key[:-1]), [False]])
     some = np.flatnonzero(alike[1:] | alike[:-1])
     kept = np.ones(len(key), bool)
@@ -253,7 +262,7 @@ def _with_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 place = (doc, part, start, n)
                 entry = (r["key"], data[start : start + n + LENGTH - 1])
                 before = found.setdefault(entry, place)
-                if before is not place:
+                if before != place:
                     if place < before:
                         found[entry], place = place, before
                     doc_of.append(place[0])
@@ -302,6 +311,7 @@ def _sort_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         covered = pdf[pdf["n"] < 0]
         yield covered[["doc", "part", "start"]].assign(stop=covered["start"] - covered["n"])
         pdf = pdf[pdf["n"] > 0]
+        pdf = pdf[_once(*(pdf[k].to_numpy() for k in _PLACE))]
         if not len(pdf):
             continue
         run, low, high = _spans(*_repeats(_numbers(pdf, ["key"]), pdf["n"].to_numpy(), pdf["text"].tolist()))
@@ -339,6 +349,7 @@ def _halves(key: int, n: int, at: int, low: int, high: int, text: bytes) -> list
 def _sort_and_split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One round for the parts of hot keys: spans (n < 0), and what is left under longer keys."""
     for pdf in _by_group(batches, ["key", "salt"]):
+        pdf = pdf[_once(*(pdf[k].to_numpy() for k in _PLACE))]
         n, texts = pdf["n"].to_numpy(), pdf["text"].tolist()
         run, window = _repeats(_numbers(pdf, ["key", "salt"]), n, texts)
         whole = np.bincount(run, minlength=len(n)) == n

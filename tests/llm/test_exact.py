@@ -97,6 +97,17 @@ def test_suffix_dedup_of_repeated_ids_with_different_texts(spark):
     assert collections.Counter(map(tuple, got)) == removed(rows)
 
 
+@pytest.mark.parametrize(("hot", "parts"), [(10**9, 1), (10**9, 3), (3, 3)])
+def test_suffix_dedup_keeps_a_document_in_several_rows(spark, monkeypatch, hot, parts):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
+    a, b = word(500), word(300)
+    rows = [(1, a), (1, a), (2, b), (2, b), (2, b), (3, word(400) + a[100:350]), (3, word(200))]
+    got = suffix_dedup.remove_repeats(frame(spark, rows).repartition(parts)).collect()
+    assert collections.Counter(map(tuple, got)) == removed(rows)
+
+
 @pytest.mark.parametrize("hot", [10**9, 200, 20])
 def test_suffix_dedup_splits_a_hot_minimiser(spark, monkeypatch, hot):
     rng = random.Random(3)
