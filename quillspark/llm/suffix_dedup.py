@@ -7,12 +7,13 @@ deal out; what repeats is read off suffix arrays (``grouping_sort``): neighbours
 
 1. Map: runs of each document, without text. Equal runs of one chunk (byte for byte) are combined: the first goes on, the
    others are covered, so a passage that a third of all documents share leaves each chunk once.
-2. A run that is alone with its minimiser and holds it once can't repeat and is done. All others get their text.
+2. A run that is alone with its minimiser and holds it once can't repeat and is done. All others get their text: the runs of
+   hot minimisers (below) in a second scan, which finds them again and shuffles no text, the rest by a join.
 3. The runs of each minimiser are sorted, equal ones as one with all its places. Tasks read them in the order of the
    minimisers, a few MB at a time.
 4. Covered spans are merged for each document.
 
-A minimiser with more than ``HOT_RUNS`` runs is first dealt out again, in rounds: a salt splits its runs into parts, each
+A minimiser with more than ``HOT_RUNS`` runs is hot; there is at most one for each HOT_RUNS runs, so they are broadcast. It is first dealt out again, in rounds: a salt splits its runs into parts, each
 part is sorted, what repeats there throughout goes, and the rest is dealt out under a longer key: the windows of a run
 are halved by where the minimiser stands in them, and each half is known in more bytes around it (67, then 84, up to all
 100, where every run under a key is the same window and a part keeps one). So no task holds more than some thousand runs.
@@ -75,6 +76,17 @@ def _sliding(pick, x: np.ndarray, span: int) -> np.ndarray:
     return pick(x[: len(x) - (span - wide)], x[span - wide :]) if wide < span else x
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """The gram hashes of ``window_hashes`` alone."""
+    parts = []
+    for a in range(0, max(1, len(data) - GRAM + 1), HASHED_BYTES):
+        h = _BYTE[data[a : a + HASHED_BYTES + GRAM - 1]]
+        for n in (1, 2, 4, 8, 16):
+            h = _join(h, h, n, n)
+        parts.append(_mixed(h))
+    return np.concatenate(parts)
+
+
 def window_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least gram hash and content hash of each LENGTH-byte window of ``data``, and the gram hashes; in blocks that a cache holds."""
     parts = []
@@ -179,7 +191,10 @@ def _once(*columns: np.ndarray) -> np.ndarray:
 
 
 def _runs(docs: np.ndarray, parts: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> pd.DataFrame:
-    """Runs of a chunk of pieces of documents, equal ones once; the copies leave as spans (n < 0: minus their length)."""
+    """Runs of a chunk of pieces of documents, equal ones once; the copies leave as spans (n < 0: minus their length).
+
+    ``at`` is where a run begins in the joined pieces (-1 for spans).
+    """
     lengths = np.array([len(p) for p in pieces], np.int64)
     data = b"".join(pieces)
     least, content, grams = window_hashes(np.frombuffer(data, np.uint8))
@@ -225,27 +240,89 @@ def _runs(docs: np.ndarray, parts: np.ndarray, starts: np.ndarray, pieces: list[
             "start": np.concatenate([start[kept], start[run]]),
             "n": np.concatenate([n[kept], start[run] - stop]).astype("i4"),
             "twin": np.concatenate([twin[kept], np.zeros(len(run), bool)]),
+            "at": np.concatenate([first[kept], np.full(len(run), -1)]),
         }
     )
 
 
-def _find_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    docs, parts, starts, pieces, size = [], [], [], [], 0
+_Chunk = tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]
+
+
+def _chunks(pieces: Iterator[tuple[int, int, int, bytes]]) -> Iterator[_Chunk]:
+    """Pieces of documents (doc, part, start and bytes), about CHUNK_BYTES at a time."""
+    held, size = [], 0
+
+    def chunk() -> _Chunk:
+        docs, parts, starts, data = zip(*held, strict=True)
+        return np.array(docs, np.int64), np.array(parts, np.int64), np.array(starts, np.int64), list(data)
+
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece[3])
+        if size >= CHUNK_BYTES:
+            yield chunk()
+            held, size = [], 0
+    if held:
+        yield chunk()
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, int, bytes]]:
     for pdf in batches:
         for doc_id, part, text in zip(pdf["doc_id"], pdf["part"], pdf["text"], strict=True):
             data = (text or "").encode()
             for a in range(0, max(0, len(data) - LENGTH + 1), CHUNK_BYTES):
-                piece = data[a : a + CHUNK_BYTES + LENGTH - 1]
-                docs.append(doc_id)
-                parts.append(part)
-                starts.append(a)
-                pieces.append(piece)
-                size += len(piece)
-                if size >= CHUNK_BYTES:
-                    yield _runs(np.array(docs, np.int64), np.array(parts, np.int64), np.array(starts, np.int64), pieces)
-                    docs, parts, starts, pieces, size = [], [], [], [], 0
-    if pieces:
-        yield _runs(np.array(docs, np.int64), np.array(parts, np.int64), np.array(starts, np.int64), pieces)
+                yield doc_id, part, a, data[a : a + CHUNK_BYTES + LENGTH - 1]
+
+
+def _find_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for chunk in _chunks(_pieces(batches)):
+        yield _runs(*chunk).drop(columns="at")
+
+
+class _Hot:
+    """Minimisers, looked up by their low bits first."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
+        self.low = np.zeros(1 << 16, bool)
+        self.low[self.keys & np.uint64(0xFFFF)] = True
+
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        return self.keys[np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)] == x
+
+    def places(self, x: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(self.low[x & np.uint64(0xFFFF)])
+        return at[self.holds(x[at])]
+
+
+def _stretches(hot: _Hot, docs: np.ndarray, parts: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> Iterator[tuple[int, int, int, bytes]]:
+    """The bytes of all windows that hold a gram of ``hot``: each such window lies whole in one stretch."""
+    length = np.array([len(p) for p in pieces], np.int64)
+    begin = np.cumsum(length) - length
+    data = b"".join(pieces)
+    at = hot.places(gram_hashes(np.frombuffer(data, np.uint8)))
+    piece = np.searchsorted(begin, at, side="right") - 1
+    inside = at + GRAM <= (begin + length)[piece]
+    at, piece = at[inside], piece[inside]
+    low, high = np.maximum(at - (LENGTH - GRAM), begin[piece]), np.minimum(at + LENGTH, (begin + length)[piece])
+    new = np.ones(len(at), bool)
+    new[1:] = (piece[1:] != piece[:-1]) | (low[1:] > high[:-1] - LENGTH + 1)  # windows that follow each other stay together
+    last = np.ones(len(at), bool)
+    last[:-1] = new[1:]
+    low, high, piece = low[new], high[last], piece[new]
+    for doc, part, start, a, b in zip(docs[piece].tolist(), parts[piece].tolist(), (starts[piece] + low - begin[piece]).tolist(), low.tolist(), high.tolist(), strict=True):
+        yield doc, part, start, data[a:b]
+
+
+def _hot_runs(batches: Iterator[pd.DataFrame], hot: _Hot) -> Iterator[pd.DataFrame]:
+    """The runs of hot minimisers with their text, equal ones of a chunk once, and the others as spans (n < 0)."""
+    near = (s for chunk in _chunks(_pieces(batches)) for s in _stretches(hot, *chunk))
+    for chunk in _chunks(near):
+        runs, data = _runs(*chunk), b"".join(chunk[3])
+        runs = runs[(runs["n"].to_numpy() < 0) | hot.holds(runs["key"].to_numpy().view("u8"))]
+        run = runs["n"].to_numpy() > 0
+        texts = [data[a : a + n + LENGTH - 1] if n > 0 else b"" for a, n in zip(runs["at"].tolist(), runs["n"].tolist(), strict=True)]
+        yield runs.drop(columns="twin").assign(at=-1, low=0, high=np.where(run, LENGTH - GRAM + 1, 0), text=texts)
 
 
 def _with_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -387,15 +464,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     counted = runs.withColumn("m", F.count("*").over(Window.partitionBy("key")))
     settled = cut_lineage(counted.where("n < 0 OR m > 1 OR twin").select("key", "doc", "part", "start", "n", (F.col("m") > HOT_RUNS).alias("hot")))
 
-    def with_text(which: str) -> DataFrame:
-        listed = settled.where(which).groupBy(F.col("doc").alias("d"), F.col("part").alias("p")).agg(F.collect_list(F.struct("key", "start", "n")).alias("runs"))
-        joined = texts.join(listed, (F.col("doc_id") == F.col("d")) & (F.col("part") == F.col("p")), "left")  # as below, so that the texts are shuffled once
-        return joined.select("doc_id", "part", F.when(F.col("runs").isNotNull(), F.col("text")).alias("text"), "runs").mapInPandas(_with_text, _TEXT_RUN)
-
+    listed = settled.where("n > 0 AND NOT hot").groupBy(F.col("doc").alias("d"), F.col("part").alias("p")).agg(F.collect_list(F.struct("key", "start", "n")).alias("runs"))
+    joined = texts.join(listed, (F.col("doc_id") == F.col("d")) & (F.col("part") == F.col("p")), "left")  # as below, so that the texts are shuffled once
     spans = [settled.where("n < 0").select("doc", "part", "start", (F.col("start") - F.col("n")).alias("stop"))]
-    sets = [with_text("n > 0 AND NOT hot")]
-    if not settled.where("n > 0 AND hot").isEmpty():
-        hot = cut_lineage(with_text("n > 0 AND hot"))
+    sets = [joined.select("doc_id", "part", F.when(F.col("runs").isNotNull(), F.col("text")).alias("text"), "runs").mapInPandas(_with_text, _TEXT_RUN)]
+    keys = [r.key for r in settled.where("n > 0 AND hot").select("key").distinct().toLocalIterator()]
+    if keys:
+        shared = docs.sparkSession.sparkContext.broadcast(_Hot(np.array(keys, np.int64).view(np.uint64)))
+        hot = cut_lineage(texts.where("doc_id IS NOT NULL").mapInPandas(lambda batches: _hot_runs(batches, shared.value), _TEXT_RUN))
         spans.append(hot.where("n < 0").select("doc", "part", "start", (F.col("start") - F.col("n")).alias("stop")))
         sets.append(_deal_hot(hot.where("n > 0"), spans))
     spans += [x.repartition("key").sortWithinPartitions("key", "doc", "part", "start").mapInPandas(_sort_runs, _SPAN) for x in sets]

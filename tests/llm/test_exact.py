@@ -108,6 +108,17 @@ def test_suffix_dedup_keeps_a_document_in_several_rows(spark, monkeypatch, hot,
     assert collections.Counter(map(tuple, got)) == removed(rows)
 
 
+def test_suffix_dedup_of_hot_runs_shuffles_no_text_again(spark, monkeypatch):
+    plans, real = [], suffix_dedup.cut_lineage
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 3)
+    monkeypatch.setattr(suffix_dedup, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    rows = passages(3)
+    got = suffix_dedup.remove_repeats(frame(spark, rows).repartition(5)).collect()
+    assert collections.Counter(map(tuple, got)) == removed(rows)
+    assert any("salt" in p for p in plans)  # the hot path was taken
+    assert not any("hashpartitioning(doc_id" in p for p in plans)
+
+
 @pytest.mark.parametrize("hot", [10**9, 200, 20])
 def test_suffix_dedup_splits_a_hot_minimiser(spark, monkeypatch, hot):
     rng = random.Random(3)
