@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
+from collections.abc import Callable
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +68,23 @@ def give_back() -> None:
         trim(0)
 
 
+_kept: dict[str, Any] = {}
+
+
+def keep_only(name: str | None = None, make: Callable[[], Any] | None = None) -> Any:
+    """What this Python worker keeps from task to task under ``name``, made once. What it keeps under any other name goes: a
+    worker outlives the stage that filled a cache, and the caches of two stages beside each other outgrow a small executor."""
+    gone = [k for k in _kept if k != name]
+    for k in gone:
+        del _kept[k]
+    if gone:
+        gc.collect()  # a cache may hold itself
+        give_back()
+    if name is not None and name not in _kept:
+        _kept[name] = make()
+    return _kept.get(name)
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once for ``body``: Catalyst then can't copy it into every use."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, free_name, give_back
+from .common import bound_batches, free_name, give_back, keep_only
 from .fm_index import FMIndex
 
 WINDOW, SHARD_BYTES, BLOCK_CHARS = 10, 4_000_000, 32_000_000
@@ -125,6 +125,7 @@ def _shared_blocks(benchmark: DataFrame, window: int) -> list[Broadcast]:
 
 def _shards(batches: Iterator[pd.Series]) -> Iterator[list[list[bytes]]]:
     """Words of the texts, a shard at a time."""
+    keep_only()
     words: list[list[bytes]] = []
     size = 0
     for texts in batches:
@@ -200,6 +201,7 @@ def without_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
             yield pd.DataFrame({"text": pd.Series([t for t, _ in done], dtype=object), "hit": [bool(s) for s in spans], "stays": [k for _, k in done]})
 
     name = free_name(docs, "cut")
+    cut = cut.asNondeterministic()  # else the filter moves below and cuts every text a second time, in workers of its own
     found = docs.withColumn(name, cut("text")).where(F.col(name)["stays"])
 
     def column(c: str) -> Column:

@@ -22,16 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
-from .tokenizing import ChunkCache, load, word_encoder
+from .common import bound_batches, give_back, keep_only
+from .tokenizing import load, word_cache
 
 SEQUENCE, CLOSING_ID = 4096, 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 SHARD_TOKENS = 4_000_000
 SCHEMA = "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_caches: dict[str, ChunkCache] = {}
-
 
 def cost(n):
     return LINEAR * n + QUADRATIC * n * n
@@ -94,9 +92,7 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE, shard_tokens: int = S
     """One row for each piece; ``with_ids`` adds the piece's ids (array<int>)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _caches.get(path)
-        if encoder is None:
-            encoder = _caches[path] = ChunkCache(word_encoder(load(path)))
+        encoder = keep_only(f"ids {path}", lambda: word_cache(load(path)))
         closing = CLOSING_ID.to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 40
         kept: dict[int, tuple[object, bytes]] = {}  # the shard's documents
@@ -131,6 +127,8 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE, shard_tokens: int = S
                     kept = {k: kept[k] for k in {p[0] for p in pieces}}
         sequences, pieces = balance(pieces, size)
         yield rows(sequences + powers(pieces))
+        kept = {}
+        give_back()
 
     bound_batches(docs.sparkSession)
     # an id passes through Python as a string: beside a null, pandas would make it a float

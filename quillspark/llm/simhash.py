@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, bound_reads, cut_lineage, give_back, small
+from .common import bound_batches, bound_reads, cut_lineage, give_back, keep_only, small
 from .components import components
 
 SHINGLE, SEED, BITS, RADIUS = 4, 42, 64, 4
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        keep_only()
         for texts in batches:
             yield pd.Series(np.fromiter(map(fingerprint, texts), "u8", len(texts)).view("i8"))
         give_back()

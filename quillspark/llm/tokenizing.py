@@ -109,27 +109,28 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def _parts(tokenizer, value) -> ChunkCache:
-    """pre-token -> ``value(its ids)``, straight from the model; for plain characters only."""
-    stand_in, model = byte_alphabet(), tokenizer.model
-    return ChunkCache(lambda x: value([t.id for t in model.tokenize(x.encode().decode("latin-1").translate(stand_in))]))
-
-
 def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-def word_encoder(tokenizer):
-    """chunk (bytes without white space) -> its ids as little-endian unsigned 32-bit integers."""
-    parts = _parts(tokenizer, _packed)
+def word_cache(tokenizer) -> ChunkCache:
+    """chunk (bytes without white space) -> its ids as little-endian unsigned 32-bit integers.
+
+    The parts of a chunk are chunks of the same cache: a second cache for them would hold most of its words twice.
+    """
+    stand_in, model = byte_alphabet(), tokenizer.model
 
     def encode(raw: bytes) -> bytes:
         chunk = raw.decode()
-        if _PLAIN.match(chunk) and "<|" not in chunk:
-            return b"".join(parts.values_of(_WORD_PARTS.findall(chunk.lower())))
-        return _packed(tokenizer.encode(chunk, add_special_tokens=False).ids)
-
-    return encode
+        if not _PLAIN.match(chunk) or "<|" in chunk:
+            return _packed(tokenizer.encode(chunk, add_special_tokens=False).ids)
+        parts = _WORD_PARTS.findall(chunk.lower())
+        if parts == [chunk]:
+            return _packed([t.id for t in model.tokenize(raw.decode("latin-1").translate(stand_in))])
+        return b"".join([cache[x.encode()] for x in parts])
+
+    cache = ChunkCache(encode)
+    return cache
 
 
 def byte_level_counter(tokenizer, table: LengthTable | None = None):

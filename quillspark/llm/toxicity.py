@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, give_back
+from .common import bound_batches, give_back, keep_only
 
 #: Bounds of the fit: labelled rows that the driver collects, characters of all of them, features kept.
 SAMPLE_ROWS, SAMPLE_CHARS, MAX_FEATURES = 6000, 40_000_000, 4_000
@@ -172,6 +172,7 @@ def _scores(docs: DataFrame, model: Model) -> Column:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        keep_only()
         for texts in batches:
             yield pd.Series([shared.value.score(t) for t in texts], dtype=float)
         shared.value.forget()

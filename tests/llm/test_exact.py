@@ -7,11 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillspark.llm import automata, decontamination, fm_index, grouping_sort, license_scan, line_dedup, packing, quality_rules, secret_scan, simhash, suffix_dedup, token_counts, tokenizing, toxicity
+from quillspark.llm import automata, common, decontamination, fm_index, grouping_sort, license_scan, line_dedup, packing, quality_rules, secret_scan, simhash, suffix_dedup, token_counts, tokenizing, toxicity
 from quillspark.llm.common import with_text_id
 from quillspark.llm.queries import vocabulary
 
@@ -176,6 +177,30 @@ def test_packing_round_trip(spark):
     assert sum(p.length for p in pieces) == sum(len(ids) * n for (_, ids), n in want.items())
 
 
+def test_the_parts_of_a_word_are_cached_once():
+    rng = random.Random(6)
+    t = tokenizing.load(vocabulary("word_bpe_49k.json"))
+    cache = tokenizing.word_cache(t)
+    pieces = ["the", "Tion", "'s", "''s", "'", ",", "--", "9", "42", "<|", "|>", "<|endoftext|>", "zöb", "ÉT", "İ", "ſ", "日本", "e\u0301"]
+    for _ in range(3000):
+        chunk = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 4)))
+        assert np.frombuffer(cache[chunk.encode()], "<u4").tolist() == t.encode(chunk, add_special_tokens=False).ids, chunk
+    assert all(len(k) <= tokenizing.CACHED_CHARS for k in cache)
+    alone = tokenizing.word_cache(t)
+    assert alone[b"the,"] == alone[b"the"] + alone[b","] and set(alone) == {b"the,", b"the", b","}
+
+
+def test_a_worker_keeps_the_cache_of_one_stage(spark, monkeypatch):
+    real, tasks = F.pandas_udf, []
+    monkeypatch.setattr(F, "pandas_udf", lambda kind: lambda f: tasks.append(f) or real(kind)(f))
+    docs, bench = frame(spark, [(1, "some words")]), spark.createDataFrame([(1, "nothing of it")], "item_id long, text string")
+    decontamination.without_phrases(docs, bench), decontamination.find_spans(docs, bench), simhash.fingerprints(docs), toxicity._scores(docs, toxicity.Model())
+    assert len(tasks) == 4
+    for task in tasks:  # as they run in a worker that packed before
+        assert common.keep_only("ids", lambda: [1]) == common.keep_only("ids", lambda: [2]) == [1]
+        assert len(list(task(iter([pd.Series(["some words"])])))) == 1 and not common._kept
+
+
 def test_balance_prefers_cheap_sequences():
     full, rest = packing.balance([(0, 0, 3000), (1, 0, 3000), (2, 0, 1000), (3, 0, 1000), (4, 0, 192)])
     assert rest == [] and sorted(sum(p[2] for p in s) for s in full) == [4096, 4096]
@@ -326,6 +351,12 @@ def test_decontamination_cuts_blocks_at_once(spark, monkeypatch):
     assert {r[1] for r in got[1]} == {"Left  right", "a  b, and on", None, "no id ", "no id", "end "}
 
 
+def test_decontamination_cuts_each_text_once(spark):
+    rows, items = overlapping()
+    found = decontamination.without_phrases(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_contamination_keeps_rows_apart_in_blocks(spark, monkeypatch):
     rows, items = overlapping()
     bench = spark.createDataFrame(items, "item_id long, text string")
