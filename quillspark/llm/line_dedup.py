@@ -3,8 +3,8 @@
 Lines of at least ``NEAR_CHARS`` characters are cut into threshold + 1 segments. A line within the threshold keeps one of
 them whole, so each line is indexed under (length, segment number, segment) and probed with its substrings at the places
 that a partner of each length can have them. Candidates are verified by a banded bit-parallel edit distance: the
-2 * threshold + 1 diagonals of a column are the bits of one word. Linked lines and copies form classes, of which the first
-line (least doc_id, then place) stays.
+2 * threshold + 1 diagonals of a column are the bits of one word; those that differ in too many short pieces are ruled out
+before. Linked lines and copies form classes, of which the first line (least doc_id, then place) stays.
 
 A key that more than ``HOT_LINES`` different lines share doesn't pair them all. With threshold 1, the rest of its lines
 differs in one place, so each is dealt out under the line without that place (as an XOR of hashes of places and
@@ -31,9 +31,27 @@ THRESHOLD, NEAR_CHARS, HOT_LINES = 1, 8, 64
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
+def _alike(a: Column, b: Column, threshold: int) -> Column:
+    """False only for strings that are more than ``threshold`` edits apart: an edit touches one piece of ``a`` at most, and
+    moves the others by one place at most, so all pieces but ``threshold`` stand in ``b`` at most that far from their place."""
+    n, k = F.length(a), 4 * (threshold + 1)
+
+    def lost(i: int) -> Column:
+        first = F.floor(n * i / k).cast("int")
+        size = F.floor(n * (i + 1) / k).cast("int") - first
+        piece = F.substring(a, first + 1, size)
+        # a place before the beginning counts from the end: that can only find a piece too many
+        there = [F.substring(b, first + 1 + shift, size) == piece for shift in sorted(range(-threshold, threshold + 1), key=abs)]
+        return F.when(reduce(Column.__or__, there), 0).otherwise(1)
+
+    return reduce(Column.__add__, map(lost, range(k))) <= threshold
+
+
 def within(a: Column, b: Column, threshold: int) -> Column:
     """Whether the edit distance of two strings (of ``threshold`` characters at least) is at most ``threshold``.
 
+    Of the candidates that share a segment, few are alike in the rest: those that ``_alike`` rules out skip the columns.
+
     Banded bit-parallel columns: bit k of a word stands for the cell of ``a`` at j + k - threshold, for character j of
     ``b``. One addition carries the equal diagonals through the band; the band then moves down by a shift. The distance
     is followed along the band's lowest diagonal, and along the last row once that is reached.
@@ -71,7 +89,7 @@ def within(a: Column, b: Column, threshold: int) -> Column:
         return F.aggregate(t["y"], begin, column)["dist"]
 
     chars = F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"))
-    return (F.abs(la - lb) <= threshold) & (let(chars, distance) <= threshold)
+    return F.when((F.abs(la - lb) <= threshold) & _alike(a, b, threshold), let(chars, distance) <= threshold).otherwise(False)
 
 
 def _lines(docs: DataFrame) -> DataFrame:

@@ -530,6 +530,19 @@ def test_banded_distance(spark, threshold):
     assert got == [distance(a, b) <= threshold for a, b in pairs]
 
 
+@pytest.mark.parametrize("threshold", [1, 2])
+def test_pieces_rule_out_candidates_before_the_band(spark, threshold):
+    rng = random.Random(8)
+    line = lambda n: "".join(rng.choice("abé d") for _ in range(n))
+    near = [(a, mutated(rng, a, rng.randint(0, 4))) for a in (line(rng.randint(8, 90)) for _ in range(300))]
+    half = [(a + line(len(a)), a + line(len(a) + rng.randint(-1, 1))) for a in (line(rng.randint(20, 45)) for _ in range(300))]  # one segment in common
+    frame = spark.createDataFrame(near + half, "a string, b string")
+    got = frame.select(line_dedup.within(F.col("a"), F.col("b"), threshold).alias("x"), line_dedup._alike(F.col("a"), F.col("b"), threshold).alias("y")).collect()
+    want = [distance(a, b) <= threshold for a, b in near + half]
+    assert [r.x for r in got] == want and all(r.y for r, w in zip(got, want, strict=True) if w)
+    assert 50 < sum(want[:300]) and sum(r.y for r in got[300:]) <= 3
+
+
 def gone_lines(rows, threshold):
     first, places = {}, []
     for i, t in sorted({r for r in rows if r[0] is not None and r[1] is not None}):
