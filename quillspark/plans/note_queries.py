@@ -145,8 +145,9 @@ def link_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_RESOLVED} SELECT DISTINCT src, dst FROM r WHERE src = (SELECT id FROM d WHERE doc_id = 9) AND dst IS NOT NULL")
 def outlinks_of_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = notes(spark, sf_dir)
-    src = lookup.find_note(own, "d9").first().id
-    return lookup.outlinks(markdown.resolve_links(own), src).where("dst IS NOT NULL").select(F.lit(src).alias("src"), "dst").distinct()
+    known = graph.durable(own.select("id", "title", "aliases"))  # each note is parsed once, for its names
+    src = lookup.find_note(known, "d9").first().id
+    return lookup.outlinks(markdown.resolve_links(own.where(F.col("id") == src), known), src).where("dst IS NOT NULL").select(F.lit(src).alias("src"), "dst").distinct()
 
 
 @query(f"""WITH {_RESOLVED}, e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM r WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import content_hash, slug, strip, word_count
+from ..operators.graph import durable
 
 #: Folders that are never read, besides what the caller excludes.
 SKIPPED = (".git", ".quillspark", ".obsidian", ".trash", "node_modules", ".venv")
@@ -185,9 +186,11 @@ def sections(notes: DataFrame) -> DataFrame:
     return out.withColumn("anchor", F.when(F.col("heading") == "", "").otherwise(slug(F.col("heading"))))
 
 
-def resolve_links(notes: DataFrame) -> DataFrame:
+def resolve_links(notes: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """src, dst (null: broken), target, anchor, kind. A target means, in this order: a path from the source's folder, an id,
-    a file stem (if several: the longest common folder path with the source, then the first id), a title or an alias."""
+    a file stem (if several: the longest common folder path with the source, then the first id), a title or an alias.
+    ``known`` (id, title, aliases): the notes that may be meant, if they are others than those whose links are resolved.
+    Links and names are kept, as they are read three times each."""
     found = notes.select(F.col("id").alias("src"), F.explode(links(F.col("body"))).alias("l")).select("src", "l.target", "l.anchor", "l.kind")
     found = found.withColumn("key", F.lower(F.regexp_replace(F.regexp_replace("target", r"(?i)\.md$", ""), "^/+", ""))).withColumn("n", F.monotonically_increasing_id())
     folder = F.slice(F.split("src", "/"), F.lit(1), F.size(F.split("src", "/")) - 1)
@@ -196,8 +199,8 @@ def resolve_links(notes: DataFrame) -> DataFrame:
         F.array().cast("array<string>"),
         lambda path, x: F.when(x == "..", F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))).when(x.isin("", "."), path).otherwise(F.concat(path, F.array(x))),
     )
-    found = found.withColumn("relative", F.when(F.contains("key", F.lit("/")) | (F.col("kind") == "markdown"), F.lower(F.array_join(walked, "/"))))
-    real = notes.select("id", "title", "aliases")
+    found = durable(found.withColumn("relative", F.when(F.contains("key", F.lit("/")) | (F.col("kind") == "markdown"), F.lower(F.array_join(walked, "/")))))
+    real = durable(notes.select("id", "title", "aliases")) if known is None else known
     stem = F.lower(F.element_at(F.split("id", "/"), -1))
     names = real.select("id", F.lower("id").alias("name"), F.lit(1).alias("rank"))
     names = names.unionByName(real.select("id", stem.alias("name"), F.lit(2).alias("rank")))
